@@ -74,8 +74,8 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of each piece have about ``most`` bytes (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each piece has about ``most`` bytes of text and at most ``rows`` rows (one at least)."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -85,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import sentencepiece_codec
-from tracefold.llm.common import read
+from pyspark.sql import functions as F
+
+from tracefold.llm import language_id, quality_rules, sentencepiece_codec
+from tracefold.llm.common import fold, read
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +22,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    learn = F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True))
+    model = language_id.fit(docs, learn)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op5_language_id": op5_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
