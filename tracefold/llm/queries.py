@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracefold.llm import language_id, quality_rules, sentencepiece_codec
+from tracefold.llm import best_fit_packing, block_knn, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec
 from tracefold.llm.common import fold, read
 
 
@@ -22,6 +22,27 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+SHARDS, TABLE_SIZE = [f"shard-{k:02d}" for k in range(64)], 6421
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 64 shards; the prime is over 100 times their number."""
+    return lookup_sharding.place(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, TABLE_SIZE)
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_knn.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format.format_pairs(*preference_format.derived_pairs(read(spark, sf_dir, "conversations")))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return best_fit_packing.pack(best_fit_packing.measure(docs), rows=docs.count())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     learn = F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True))
@@ -34,9 +55,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_sharding": op3_sharding,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_language_id": op5_language_id,
+        "op7_preference_format": op7_preference_format,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": _SHARDING_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op7_preference_format": _PREFERENCE_SQL}
+
+
+_SHARDING_SQL = f"""
+WITH RECURSIVE {lookup_sharding.table_sql(f"SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range({len(SHARDS)}) t(k)", TABLE_SIZE)},
+keyed AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % {TABLE_SIZE} AS slot FROM documents)
+SELECT doc_id, source, keyed.slot, name AS shard
+FROM keyed LEFT JOIN (SELECT turns.slot, name FROM turns, counted, names WHERE k = t % n) filled ON filled.slot = keyed.slot
+"""
+
+_PREFERENCE_SQL = """
+WITH turns AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+lasts AS (SELECT pair_id, max(turn) AS last FROM turns WHERE role = 'assistant' GROUP BY 1),
+answers AS (SELECT xor(pair_id, 1) AS pair_id, turn AS last, min(text) AS other FROM turns WHERE role = 'assistant' GROUP BY 1, 2),
+rejected AS (
+  SELECT t.* FROM turns t LEFT JOIN lasts USING (pair_id) WHERE last IS NULL OR turn < last
+  UNION ALL
+  SELECT pair_id, last, 'assistant', coalesce(other, '') FROM lasts LEFT JOIN answers USING (pair_id, last)
+),
+sides AS (SELECT 'chosen' AS side, * FROM turns UNION ALL SELECT 'rejected', * FROM rejected),
+clean AS (SELECT side, pair_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM sides WHERE pair_id IS NOT NULL AND turn IS NOT NULL),
+counts AS (
+  SELECT pair_id, turn, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS r FROM clean GROUP BY ALL
+),
+ends AS (SELECT pair_id, min(turn) AS ending FROM counts WHERE c <> r GROUP BY 1),
+marked AS (SELECT counts.*, ending IS NULL OR turn < ending AS common FROM counts LEFT JOIN ends USING (pair_id)),
+parts AS (
+  SELECT pair_id, 'prompt' AS side, turn, role, text, c AS copies FROM marked WHERE common
+  UNION ALL SELECT pair_id, 'chosen', turn, role, text, c FROM marked WHERE NOT common AND c > 0
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text, r FROM marked WHERE NOT common AND r > 0
+)
+SELECT pair_id, side, turn, role, copies, repeat('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), copies::INT) AS segment,
+       CASE WHEN side <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END::INT AS loss
+FROM parts
+"""
+
+_NEAREST_SQL = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
