@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracefold.llm import best_fit_packing, block_knn, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec
+from tracefold.llm import best_fit_packing, block_knn, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec, setsketch_dedup
 from tracefold.llm.common import fold, read
 
 
@@ -51,6 +51,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_preference_format": op7_preference_format,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
