@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracefold.llm import best_fit_packing, block_knn, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec, setsketch_dedup
+from tracefold.llm import best_fit_packing, block_knn, html_main_text, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec, setsketch_dedup
 from tracefold.llm.common import fold, read
 
 
@@ -38,6 +38,10 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format.format_pairs(*preference_format.derived_pairs(read(spark, sf_dir, "conversations")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return best_fit_packing.pack(best_fit_packing.measure(docs), rows=docs.count())
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_language_id": op5_language_id,
+        "op6_html_extraction": op6_html_extraction,
         "op7_preference_format": op7_preference_format,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_duplicates": op10_near_duplicates,
