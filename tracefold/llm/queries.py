@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracefold.llm import best_fit_packing, block_knn, html_main_text, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec, setsketch_dedup
+from tracefold.llm import best_fit_packing, bilinear_lm, block_knn, html_main_text, language_id, lookup_sharding, preference_format, quality_rules, sentencepiece_codec, setsketch_dedup
 from tracefold.llm.common import fold, read
 
 
@@ -42,6 +42,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    learn = F.coalesce(fold(F.col("doc_id")) != 1, F.lit(True))
+    model, coder, counts = bilinear_lm.fit(docs.withColumn("_learn", learn), "_learn")
+    scored = bilinear_lm.score(docs, model, coder, counts, learn)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return best_fit_packing.pack(best_fit_packing.measure(docs), rows=docs.count())
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_html_extraction": op6_html_extraction,
         "op7_preference_format": op7_preference_format,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_duplicates": op10_near_duplicates,
     }
