@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage but the last returns the columns of ``documents``:
+
+1. language identification drops what it rejects (no letters, or far from every
+   language's centroids) and fills in missing languages;
+2. quality rules drop what they reject and remove frequent lines from the rest;
+3. near-duplicate detection keeps the smallest id of each group (five words,
+   similarity 0.8);
+4. best-fit packing deals the documents left, or pieces of long ones, to bins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tracefold.llm import best_fit_packing, language_id, quality_rules, setsketch_dedup
+from tracefold.llm.common import cut, fold
+
+#: The language and other decisions of the stages are no SQL; tests use a brute-force version.
 ORACLE_SQL = None
 
 
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    model = language_id.fit(docs, F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True)))
+    found = language_id.identify(docs, model, carry=tuple(docs.columns))
+    return found.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without their frequent lines."""
+    judged = quality_rules.quality_verdicts(docs, carry=tuple(docs.columns), with_frequent_lines=True)
+    left = quality_rules.remove_lines(judged.filter("kept").select(*docs.columns, "frequent_lines"), "text", "source", "frequent_lines")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    dropped = setsketch_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of each document, or of each piece of a long one."""
+    return best_fit_packing.pack(best_fit_packing.measure(docs), rows=docs.count())
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("quality_rules", apply_quality_rules),
+    ("near_duplicates", drop_near_duplicates),
+    ("best_fit_packing", pack_documents),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
