@@ -25,14 +25,14 @@ ORACLE_SQL = None
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     model = language_id.fit(docs, F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True)))
-    found = language_id.identify(docs, model, carry=tuple(docs.columns))
-    return found.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language_id.identify(docs, model, carry=tuple(docs.columns), prefix="_p_")
+    return found.filter(~F.col("_p_rejected")).withColumn("lang", F.coalesce("lang", "_p_lang_pred")).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their frequent lines."""
-    judged = quality_rules.quality_verdicts(docs, carry=tuple(docs.columns), with_frequent_lines=True)
-    left = quality_rules.remove_lines(judged.filter("kept").select(*docs.columns, "frequent_lines"), "text", "source", "frequent_lines")
+    judged = quality_rules.quality_verdicts(docs, carry=tuple(docs.columns), with_frequent_lines=True, prefix="_p_")
+    left = quality_rules.remove_lines(judged.filter("_p_kept").select(*docs.columns, "_p_frequent_lines"), "text", "source", "_p_frequent_lines")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -142,8 +142,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return CentroidModel(np.array(counts, np.float32).reshape(-1, DIMS), np.array(letters, np.int64), langs, clusters)
 
 
-def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The id column, the columns of ``carry``, ``lang_pred``, ``score`` and ``rejected``."""
+def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """The id column, the columns of ``carry``, ``lang_pred``, ``score`` and ``rejected`` (after ``prefix``)."""
     cols = list(dict.fromkeys([id_col, *carry]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters * languages * DIMS floats
     schema = ", ".join(f"_in{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(cols)) + ", _lang string, _score double, _rejected boolean"
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in cols] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [f"_in{k}" for k in range(len(cols))] + ["_lang", "_score", "_rejected"])
 
     out = docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, schema)
-    return out.select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(cols)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    return out.select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(cols)], F.col("_lang").alias(f"{prefix}lang_pred"), F.col("_score").alias(f"{prefix}score"), F.col("_rejected").alias(f"{prefix}rejected"))

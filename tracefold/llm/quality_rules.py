@@ -119,8 +119,9 @@ def quality_verdicts(
     min_left: float = 0.3,
     carry: tuple[str, ...] = (),
     with_frequent_lines: bool = False,
+    prefix: str = "",
 ) -> DataFrame:
-    """The id column, the columns of ``carry`` and ``RESULTS``, one row per input row.
+    """The id column, the columns of ``carry`` and ``RESULTS`` (after ``prefix``), one row per input row.
 
     ``with_frequent_lines`` adds ``frequent_lines``, the keys of the lines to remove.
     """
@@ -142,9 +143,9 @@ def quality_verdicts(
     verdict = ~F.col("_base_failed") & (left >= F.col("_n_words") * min_left)
     out = table.join(gone, "_row", "left")
     named: list[Column] = [F.col(f"_in{k}").alias(c) for k, c in enumerate(keep) if c in (id_col, *carry)]
-    named += [F.col(f"_{c}").alias(c) for c in RESULTS[:6]] + [left.cast("long").alias("words_left"), verdict.alias("kept")]
+    named += [F.col(f"_{c}").alias(f"{prefix}{c}") for c in RESULTS[:6]] + [left.cast("long").alias(f"{prefix}words_left"), verdict.alias(f"{prefix}kept")]
     if with_frequent_lines:
-        named.append(F.col("_frequent").alias("frequent_lines"))
+        named.append(F.col("_frequent").alias(f"{prefix}frequent_lines"))
     return out.select(*named)
 
 
