@@ -88,7 +88,7 @@ _HEADS = {
     "class": re.compile(r"^\s*(?:(?:export|default|public|private|protected|abstract|final|static|pub(?:\([^)]*\))?)\s+)*(?:class|interface|impl(?:<[^>]*>)?|struct|trait)\s+(\w+)"),
     "function": re.compile(
         r"^\s*(?:(?:export|default|public|private|protected|static|final|async|abstract|pub(?:\([^)]*\))?|unsafe|inline|extern|const)\s+)*"
-        r"(?:(?:function\s*\*?|func(?:\s*\([^)]*\))?|fn|def)\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|\w+\s*=>)|(?:[\w:<>,*&\[\]]+\s+)+[*&]?(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w, .]+|const|noexcept)?\s*\{?\s*$)"
+        r"(?:(?:function\s*\*?|func(?:\s*\([^)]*\))?|fn|def)\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|\w+\s*=>)|(?:[\w:<>,*&\[\]]+\s+)+[*&]?(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w, .]+|const|noexcept)?\s*\{?\s*$|[*#]?(\w+)\s*\([^;{}]*\)\s*(?::\s*[^={;]+)?\{\s*$)"
     ),
 }
 _NOT_NAMES = frozenset("if for while switch return else catch new throw do try case sizeof".split())

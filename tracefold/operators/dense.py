@@ -49,7 +49,8 @@ def encode_column(text: Column, encoder: Encoder, second: Encoder | None = None,
                 v = normalised(np.concatenate([v, weight * normalised(second(texts))], 1))
             yield pd.Series(list(v))
 
-    return run(text)
+    # Else Catalyst may copy the call into a filter below the join that spares it.
+    return run.asNondeterministic()(text)
 
 
 def with_embeddings(chunks: DataFrame, text: Column, encoder: Encoder, cache: DataFrame | None, model_id: str) -> tuple[DataFrame, DataFrame]:

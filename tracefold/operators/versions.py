@@ -116,12 +116,12 @@ def carry_forward(old: DataFrame, changed: DataFrame, removed: DataFrame | None
     gone = changed.select(key).distinct()
     if removed is not None:
         gone = gone.unionByName(removed.select(key)).distinct()
-    return old.join(gone, key, "left_anti").unionByName(changed)
+    return old.join(gone, key, "left_anti").select(*changed.columns).unionByName(changed)
 
 
 def delta(current: DataFrame, changed_files: DataFrame, key: str = "file_path") -> DataFrame:
     """Only the rows of changed files."""
-    return current.join(changed_files.select(key).distinct(), key, "left_semi")
+    return current.join(changed_files.select(key).distinct(), key, "left_semi").select(*current.columns)
 
 
 def changed_between(old: DataFrame, new: DataFrame, key: str = "file_path", content: str = "content_hash") -> DataFrame:
