@@ -15,10 +15,14 @@ bucket that aren't linked:
 1. sketch every document; documents with equal sets form one node;
 2. in each bucket of a band, every node is paired with the smallest node; each
    node verifies the pair of highest likelihood, and components are formed;
-3. in buckets that still hold several components, the nodes outside the largest
+3. buckets that still hold several components go through further such rounds,
+   each with other nodes in the middle, so that large groups of near copies,
+   of which most aren't linked directly, grow together;
+4. where several components are left in a bucket, the nodes outside its largest
    one are compared with all others of another component, block by block on
-   registers, and the pairs that can reach the limit are verified;
-4. components of both kinds of links give the result.
+   registers, and pairs that can reach the limit are verified there, as each
+   block holds the full sets of its nodes (a pair in its first common bucket);
+5. components of all links give the result.
 
 So links inside a component aren't all looked at, which can't change it.  Two
 documents at similarity 0.8 miss each other in all bands with probability
@@ -150,9 +154,9 @@ def _band_keys(nodes: DataFrame, bands: int, width: int) -> DataFrame:
             keys = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
             for j in range(width):
                 keys = mix(keys * _FACTOR + rows[:, :, j])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(column(batch, "node").to_numpy(), bands))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(rows))), pa.array(np.repeat(column(batch, "node").to_numpy(), bands))], ["key", "band", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, band int, node long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
@@ -192,6 +196,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     return rows.mapInArrow(run, "node long, members binary")
 
 
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct hashes."""
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among ``pairs``: 100 * intersection >= percent * union on full sets."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}"))
@@ -199,37 +211,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for ma, mb in zip(column(batch, "ma"), column(batch, "mb"), strict=True):
-                x, y = np.frombuffer(ma.as_buffer(), np.uint64), np.frombuffer(mb.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [_linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(column(batch, "ma"), column(batch, "mb"), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, limit: float, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that can reach ``limit``.
+def _mixed(members: DataFrame, block: int = 512) -> DataFrame:
+    """The rows of ``members`` (key, band, node, comp) in buckets of several components.
 
-    ``members`` has key, node, comp.
+    Adds the largest component of the bucket, and how many blocks its nodes
+    (``across``) and those outside that component (``down``) make.
     """
     by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     by = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     by = by.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("n") / block).cast("long").alias("across"), F.ceil((F.col("n") - F.col("main.n")) / block).cast("long").alias("down"))
-    mixed = members.join(by, "key").join(nodes.select("node", "sketch", "n_shingles"), "node")
+    return members.join(by, "key")
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, limit: float, percent: int) -> DataFrame:
+    """The links (a, b) of one bucket and different components."""
+    mixed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node").join(sets, "node")
     cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["key", "node", "comp", "sketch", "n_shingles"]
+    keep = ["key", "band", "node", "comp", "sketch", "n_shingles", "members"]
     probes = mixed.filter("comp <> main").select(*keep, F.lit(True).alias("probe"), cell("down").alias("i"), every("across").alias("j"))
     others = mixed.select(*keep, F.lit(False).alias("probe"), cell("across").alias("j"), every("down").alias("i"))
     cells = probes.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("probe"))
 
     def compared(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.Table.from_batches(group).combine_chunks()
-        node, comp, size, probe = (b.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "probe"))
+        node, comp, size, probe, band = (b.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "probe", "band"))
+        full = b.column("members")
         place = np.flatnonzero(np.r_[True, np.any([np.diff(b.column(c).to_numpy()) != 0 for c in ("key", "i", "j")], axis=0), True])
         sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(node), -1)
         first, second, held = [], [], 0
@@ -246,7 +259,14 @@ def _across(members: DataFrame, nodes: DataFrame, limit: float, block: int = 512
             for at in range(0, len(p), 8192):
                 pp, qq = p[at : at + 8192], q[at : at + 8192]
                 _, can = _compare(sketch[pp], sketch[qq], size[pp], size[qq], limit)
-                a, c = node[pp[can]], node[qq[can]]
+                if not can.any():
+                    continue
+                pp, qq = pp[can], qq[can]
+                same = (sketch[pp] == sketch[qq]).reshape(len(pp), bands, -1).all(2)
+                here = same.argmax(1) == band[pp]  # other common buckets need not look again
+                pp, qq = pp[here], qq[here]
+                ok = np.array([_linked(full[x].as_buffer(), full[y].as_buffer(), percent) for x, y in zip(pp.tolist(), qq.tolist(), strict=True)], bool)
+                a, c = node[pp[ok]], node[qq[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +294,12 @@ def _across(members: DataFrame, nodes: DataFrame, limit: float, block: int = 512
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, bands: int = 40, width: int = 6) -> DataFrame:
+def _best(estimated: DataFrame) -> DataFrame:
+    """The pair of highest estimate of each node ``a``."""
+    return estimated.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, bands: int = 40, width: int = 6, rounds: int = 2) -> DataFrame:
     """The id column, ``n_shingles``, ``component_id`` (smallest id linked, over any chain) and ``kept``."""
     limit = percent / 100
     rows, _ = kept(sketch_documents(docs, id_col, text_col, words, bands * width))
@@ -286,20 +311,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, _ = kept(keys.join(hubs, "key"))
     stars = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     close = _estimated(stars, nodes, limit)
-    best = close.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    best, _ = kept(best)
+    best, _ = kept(_best(close))
     facts = nodes.select("node", "min_id", "print")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, facts.join(ends(best), "node"), id_col, text_col, words)
-    links, _ = kept(_verified(best, kept(sets)[0], percent))
-    first, _ = kept(components(links))
-    labelled = members.join(first.withColumnRenamed("vertex", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    more, _ = kept(_across(labelled, nodes, limit))
-    # Of a pair that was verified before, the answer is known.
-    more = more.join(best, ["a", "b"], "left_anti")
-    more_sets = _sets(docs, facts.join(ends(more), "node"), id_col, text_col, words)
-    more_links, _ = kept(_verified(more, kept(more_sets)[0], percent))
-    final = components(links.unionByName(more_links))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        sets = _sets(docs, facts.join(ends(pairs), "node"), id_col, text_col, words)
+        return kept(_verified(pairs, kept(sets)[0], percent))[0]
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("vertex", "node"), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
+
+    links = checked(best)
+    found, _ = kept(components(links))
+    for turn in range(rounds):
+        here = labelled(found)
+        middle = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp")).alias("m")).filter("low < high")
+        around = here.join(middle.select("key", "m"), "key").filter(F.col("comp") != F.col("m.comp")).select(F.col("node").alias("a"), F.col("m.node").alias("b")).distinct()
+        best, _ = kept(_best(_estimated(around, nodes, limit)))
+        new = checked(best)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        found, _ = kept(components(links))
+    mixed, _ = kept(_mixed(labelled(found)))
+    sets = _sets(docs, facts.join(mixed.select("node").distinct(), "node"), id_col, text_col, words)
+    final = components(links.unionByName(_across(mixed, nodes, kept(sets)[0], bands, limit, percent)))
     named = nodes.select("node", "print", "min_id").join(final.withColumnRenamed("vertex", "node"), "node", "left").select("print", "min_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
     labels = named.join(smallest, "component").select("print", "component_id")
