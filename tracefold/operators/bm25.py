@@ -26,18 +26,27 @@ def indexed_text(symbol: Column, docstring: Column, code: Column, path: Column |
     return F.concat_ws("\n", *[c for c in (path, symbol, docstring, code) if c is not None])
 
 
-def build(docs: DataFrame, id_col: str, text: Column) -> Index:
-    """The index of ``docs``.
+def build(docs: DataFrame, id_col: str, text: Column, only: DataFrame | None = None) -> Index:
+    """The index of ``docs``, for a single batch of queries only over the terms of ``only``.
 
+    Statistics of the terms kept are those of the full index.
     Length comes from the token array of each document, so counting terms is
     the only exchange; term_df and stats aggregate partially before theirs.
     """
     tokens = docs.select(F.col(id_col).alias("id"), tokenise(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
+    found = tokens.select("id", "dl", F.explode("tokens").alias("term"))
+    if only is not None:
+        found = found.join(only.select("term").distinct(), "term", "left_semi")
+    postings = found.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
+def search_once(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, k: int = 100, text_col: str = "text") -> DataFrame:
+    """``search`` over documents that have no stored index: only terms of the queries are counted."""
+    return search(build(docs, id_col, text, query_terms(queries, text_col)), queries, k, text_col)
+
+
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """query_id, term and how often the query has it."""
     return queries.select("query_id", F.explode(tokenise(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

@@ -7,7 +7,7 @@ import statistics
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators import fusion, metrics
@@ -23,16 +23,23 @@ CONFIGURATIONS = (
 
 
 def grid(lexical: DataFrame, dense: DataFrame, qrels: DataFrame, k: int = 10, configurations=CONFIGURATIONS) -> DataFrame:
-    """Mean quality of every configuration over the same two lists; ``bm25_only`` is really lexical."""
-    out = None
+    """Mean quality of every configuration over the same two lists; ``bm25_only`` is really lexical.
+
+    The lists are joined once; each row then stands once for each configuration
+    that has it.
+    """
+    fused = fusion.fuse(lexical, dense)
+    part = lambda rank, weight: F.coalesce(F.lit(float(weight)) / (F.col(rank) + fusion.RRF_K), F.lit(0.0))
+    rows = []
     for name, use_lexical, use_dense, weights in configurations:
-        if use_lexical and use_dense:
-            rows = fusion.fuse(lexical, dense, weights=weights).select("query_id", "id", "rank")
-        else:
-            rows = (lexical if use_lexical else dense).select("query_id", "id", "rank")
-        own = metrics.evaluate(rows, qrels, k).withColumn("config", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    return metrics.summary(out, "config")
+        both = use_lexical and use_dense
+        own = F.col("bm25_rank") if use_lexical else F.col("dense_rank")
+        score = F.round(part("bm25_rank", weights[0]) + part("dense_rank", weights[1]), 6) if both else -own.cast("double")
+        rows.append(F.struct(F.lit(name).alias("config"), score.alias("s")))
+    each = fused.select("query_id", "id", F.explode(F.array(*rows)).alias("c")).select("query_id", "id", "c.config", "c.s").filter("s is not null")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc("s"), "id")))
+    names = lexical.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c[0]) for c in configurations])).alias("config"))
+    return metrics.summary(metrics.evaluate(ranked, qrels, k, names), "config")
 
 
 def rebuild_times(full: Callable[[], object], incremental: Callable[[], object], clock: Callable[[], float] = time.monotonic) -> dict[str, float]:

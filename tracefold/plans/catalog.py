@@ -62,7 +62,7 @@ def _lists(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, Da
     asked = _queries_of(spark, sf_dir)
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = rows.join(asked.select("query_id"), F.col("id") == F.col("query_id")).select("query_id", "embedding")
-    return bm25.search(_index(spark, sf_dir), asked, k), dense.search(rows, near, k)
+    return bm25.search_once(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), asked, k), dense.search(rows, near, k)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +84,11 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_topk_single(spark, sf_dir):
-    return bm25.search(_index(spark, sf_dir), _one_query(spark), 10)
+    return bm25.search_once(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _one_query(spark), 10)
 
 
 def bm25_topk_batch(spark, sf_dir):
-    return bm25.search(_index(spark, sf_dir), _queries_of(spark, sf_dir), 10)
+    return bm25.search_once(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _queries_of(spark, sf_dir), 10)
 
 
 def tokenise_identifiers(spark, sf_dir):
@@ -144,7 +144,7 @@ def clean_queries(spark, sf_dir):
 
 def matched_terms(spark, sf_dir):
     docs, asked = _table(spark, sf_dir, "documents"), _queries_of(spark, sf_dir)
-    hits = bm25.search(_index(spark, sf_dir), asked, 5)
+    hits = bm25.search_once(docs, "doc_id", F.col("text"), asked, 5)
     rows = hits.join(asked, "query_id").withColumnRenamed("text", "query").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     return rows.select("query_id", "id", F.array_join(queryprep.matched_terms(F.col("query"), F.col("text")), " ").alias("terms"))
 
@@ -274,8 +274,9 @@ def ndcg_mrr_recall_map(spark, sf_dir):
 def ablation_grid(spark, sf_dir):
     lexical, near = _lists(spark, sf_dir)
     near = near.select("query_id", "id", "score", "rank")
-    judged = _table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    qrels = _queries_of(spark, sf_dir).select("query_id").crossJoin(F.broadcast(judged.filter("id < 100"))).select("query_id", "id", F.lit(1).alias("rel"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = _queries_of(spark, sf_dir).select("query_id").join(rows.withColumnRenamed("vec_id", "query_id"), "query_id")
+    qrels = asked.join(rows.withColumnRenamed("vec_id", "id"), "label").select("query_id", "id", F.lit(1).alias("rel"))
     return ablation.grid(lexical, near, qrels)
 
 
@@ -307,10 +308,10 @@ def event_telemetry(spark, sf_dir):
 
 
 def stream_jobs(spark, sf_dir):
-    """Job files made of some events, run through the stream; the last state of each job."""
+    """A job file for each region, run through the stream; the last state of each job."""
     from tracefold.streaming.replay import replay_jobs
 
-    rows = _table(spark, sf_dir, "events").filter("event_id < 8").select(F.col("event_id").cast("string").alias("job_id"), F.col("event_type").alias("repo_path"), F.lit(None).cast("string").alias("commit_sha"), F.lit(False).alias("force_full"))
+    rows = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("job_id"), F.col("r_name").alias("repo_path"), F.lit(None).cast("string").alias("commit_sha"), F.lit(False).alias("force_full"))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracefold-jobs-")
     return jobs.latest_states(replay_jobs(rows, os.path.join(base, "jobs")), order=("ts", "status")).select("job_id", "status", "message")
 

@@ -118,7 +118,6 @@ _LINES = "string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE te
 _STOP = ", ".join(f"'{w}'" for w in queryprep.STOP)
 _MANIFESTS = "manifests AS (SELECT event_id::VARCHAR AS snapshot_id, 'Repo' || user_id AS repo_name, '/srv/code/repo' || user_id AS repo_path, ts, floor(value)::BIGINT AS chunk_count FROM events)"
 _LATEST = "latest AS (SELECT lower(repo_name) AS repo_key, * FROM manifests QUALIFY row_number() OVER (PARTITION BY lower(repo_name) ORDER BY ts DESC, snapshot_id) = 1)"
-_JUDGED = "SELECT doc_id AS id FROM labels WHERE quality = 1 AND doc_id < 100"
 
 ORACLES = {
     "rrf_hybrid": f"WITH {_lists()}, {_fused()} SELECT * FROM fused",
@@ -178,8 +177,9 @@ ORACLES = {
     "ablation_grid": f"""WITH {_lists()}, {_fused()}, {_fused(2, 1, "fused_b")}, {_fused(1, 2, "fused_d")},
         results AS (SELECT 'bm25_only' AS config, query_id, id, rank FROM lexical UNION ALL SELECT 'dense_only', query_id, id, rank FROM near UNION ALL SELECT 'hybrid', query_id, id, rank FROM fused
           UNION ALL SELECT 'hybrid_lexical', query_id, id, rank FROM fused_b UNION ALL SELECT 'hybrid_dense', query_id, id, rank FROM fused_d),
-        qrels AS (SELECT query_id, j.id, 1 AS rel FROM asked, ({_JUDGED}) j), {_evaluated("results", "qrels")}
+        qrels AS (SELECT query_id, e.vec_id AS id, 1 AS rel FROM asked JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.label = q.label), {_evaluated("results", "qrels")}
         SELECT config, count(*) AS n_queries, round(avg(ndcg), 4) AS ndcg, round(avg(mrr), 4) AS mrr, round(avg(recall), 4) AS recall, round(avg(map), 4) AS map FROM quality GROUP BY 1""",
+    "stream_jobs": "SELECT r_regionkey::VARCHAR AS job_id, 'done' AS status, r_name AS message FROM region",
     "job_state_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "event_telemetry": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
 }
