@@ -83,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": _SHARDING_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op7_preference_format": _PREFERENCE_SQL}
+    return {"op1_quality_rules": _QUALITY_SQL, "op10_near_duplicates": _NEAR_SQL, "op3_sharding": _SHARDING_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op7_preference_format": _PREFERENCE_SQL}
 
 
 _SHARDING_SQL = f"""
@@ -128,3 +128,44 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+lines AS (SELECT row_, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT row_, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY 1),
+tokens AS (SELECT row_, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+places AS (SELECT row_, p, {" || ' ' || ".join(["word"] + [f"lead(word, {k}) OVER ordered" for k in range(1, 8)])} AS shingle FROM tokens WINDOW ordered AS (PARTITION BY row_ ORDER BY p)),
+windows AS (SELECT row_, p, count(*) OVER (PARTITION BY row_, shingle) AS times FROM places WHERE shingle IS NOT NULL),
+inside AS (SELECT DISTINCT row_, unnest(range(p, p + 8)) AS q FROM windows WHERE times > 1),
+repeats AS (SELECT row_, count(*) AS n_repeat_words FROM inside GROUP BY 1),
+keyed AS (SELECT row_, host, t, {_ASCII_LOWER.format("array_to_string(lw, ' ')")} AS line_key, len(lw) AS n FROM worded WHERE len(lw) <= 30),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY 1),
+frequent AS (SELECT host, line_key FROM (SELECT host, line_key, count(DISTINCT t) AS n FROM keyed GROUP BY 1, 2) JOIN hosts USING (host) WHERE n > greatest(20.0, docs * 0.002)),
+gone AS (SELECT row_, sum(n) AS n_gone FROM keyed JOIN frequent USING (host, line_key) GROUP BY 1),
+base AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (len(ws) - coalesce(n_gone, 0))::BIGINT AS words_left
+  FROM w LEFT JOIN dups USING (row_) LEFT JOIN repeats USING (row_) LEFT JOIN gone USING (row_)
+),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, NOT base_failed AND words_left >= 0.3 * n_words AS kept FROM judged
+"""
+
+_NEAR_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p : p + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ ON other = a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
