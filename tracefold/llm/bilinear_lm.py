@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Bilinear, coder: Coder, counts: np.ndarray, le
         (own, coder, counts), hashes, known = shared.value, WordHashes(), {}
         listed_logs, listed_known = np.log10(counts + 0.5), (counts > 0).astype(np.int64)
         listed_logs[0] = listed_known[0] = 0
-        for piece in slices(batches, "text", 4 << 20, 1 << 14):
+        for piece in slices(batches, "text", 2 << 20, 1 << 12):
             texts, codes, starts = _coded(piece, coder)
             n = len(texts)
             sizes = np.array([len(t) + 1 for t in texts])
@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: Bilinear, coder: Coder, counts: np.ndarray, le
             name = column(piece, "row")[0].as_py()
             yield _filled(
                 {
-                    "bucket": np.full(n, name % buckets, np.int32), "slice": np.full(n, name), "place": np.arange(n), "id": column(piece, "id"), "n_tokens": sizes,
+                    "bucket": ((name + np.arange(n)) % buckets).astype(np.int32), "slice": np.full(n, name), "place": np.arange(n), "id": column(piece, "id"), "n_tokens": sizes,
                     "n_known": np.bincount(doc, listed_known[codes], n).astype(np.int64), "n_rest": np.bincount(doc[rest], minlength=n),
                     "model": np.bincount(doc, own.log10_probability(codes, one, two, known), n), "logs": np.bincount(doc, listed_logs[codes], n),
                 },
