@@ -271,3 +271,11 @@ def test_queries_have_the_contract_columns(spark, sf):
     found = Q.queries()
     for name, columns in want.items():
         assert set(columns) <= set(found[name](spark, sf).columns), name
+
+
+def test_sweep_removes_written_tables(spark):
+    from tracefold.llm import common
+
+    frame, path = common.kept(spark.range(3))
+    assert frame.count() == 3 and common.sweep(spark) >= 1
+    assert not spark.sparkContext._jvm.java.io.File(path.removeprefix("file:")).exists()

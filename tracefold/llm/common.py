@@ -46,10 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return kept(df)[0]
 
 
+_written: list[str] = []
+
+
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """As ``cut``, with the table's path, for those that drop it when done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracefold-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -90,6 +94,15 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
             at = to
 
 
+def sweep(spark: SparkSession) -> int:
+    """Remove all tables that ``cut`` and ``kept`` wrote; for callers that have stored their results."""
+    paths = list(_written)
+    _written.clear()
+    for path in paths:
+        discard(spark, path)
+    return len(paths)
+
+
 #: A-Z to a-z, everything else unchanged, also on UTF-8 bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
