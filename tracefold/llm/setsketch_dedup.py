@@ -20,8 +20,8 @@ bucket that aren't linked:
    of which most aren't linked directly, grow together;
 4. where several components are left in a bucket, the nodes outside its largest
    one are compared with all others of another component, block by block on
-   registers, and pairs that can reach the limit are verified there, as each
-   block holds the full sets of its nodes (a pair in its first common bucket);
+   registers; nodes with a pair that can reach the limit (in its first common
+   bucket) come again with their full sets, and such pairs are verified there;
 5. components of all links give the result.
 
 So links inside a component aren't all looked at, which can't change it.  Two
@@ -36,10 +36,11 @@ one document; ties go to the smaller id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import LOWER, WordHashes, column, kept, mix, slices
@@ -175,10 +176,26 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, estimate double")
 
 
+@contextmanager
+def _filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark put a Bloom filter of a small side (10 MB at most) before the exchange of the other, whatever its size."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node and members (sorted hashes) of the nodes of ``wanted`` (node, min_id, print)."""
+    """node and members (sorted hashes) of the nodes of ``wanted`` (node, min_id, print), as a written table.
+
+    Few texts are wanted; a Bloom filter of their ids spares the others the exchange.
+    """
     import xxhash
 
+    wanted = kept(wanted)[0].filter("node >= 0")  # the comparison (always true) tells the optimizer that the side is worth a filter
     rows = docs.select(F.col(id_col).alias("min_id"), F.col(text_col).alias("text")).join(wanted, "min_id").select("node", "print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +210,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
                     members.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
 
-    return rows.mapInArrow(run, "node long, members binary")
+    with _filtered_joins(docs.sparkSession):
+        return kept(rows.mapInArrow(run, "node long, members binary"))[0]
 
 
 def _linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -229,20 +247,28 @@ def _mixed(members: DataFrame, block: int = 512) -> DataFrame:
     return members.join(by, "key")
 
 
-def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, limit: float, percent: int) -> DataFrame:
-    """The links (a, b) of one bucket and different components."""
-    mixed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node").join(sets, "node")
+def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame | None, bands: int, limit: float, percent: int) -> DataFrame:
+    """The links (a, b) of one bucket and different components.
+
+    Without ``sets``, the rows (key, node) of ``mixed`` that take part in a pair to verify.
+    """
+    mixed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node")
+    if sets is not None:
+        mixed = mixed.join(sets, "node")
     cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["key", "band", "node", "comp", "sketch", "n_shingles", "members"]
+    keep = ["key", "band", "node", "comp", "sketch", "n_shingles"] + ["members"] * (sets is not None)
+    names = ["a", "b"] if sets is not None else ["key", "node"]
     probes = mixed.filter("comp <> main").select(*keep, F.lit(True).alias("probe"), cell("down").alias("i"), every("across").alias("j"))
     others = mixed.select(*keep, F.lit(False).alias("probe"), cell("across").alias("j"), every("down").alias("i"))
     cells = probes.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("probe"))
 
+    sets_given = sets is not None
+
     def compared(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = pa.Table.from_batches(group).combine_chunks()
         node, comp, size, probe, band = (b.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "probe", "band"))
-        full = b.column("members")
+        full = b.column("members") if sets_given else None
         place = np.flatnonzero(np.r_[True, np.any([np.diff(b.column(c).to_numpy()) != 0 for c in ("key", "i", "j")], axis=0), True])
         sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(len(node), -1)
         first, second, held = [], [], 0
@@ -265,9 +291,13 @@ def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, lim
                 same = (sketch[pp] == sketch[qq]).reshape(len(pp), bands, -1).all(2)
                 here = same.argmax(1) == band[pp]  # other common buckets need not look again
                 pp, qq = pp[here], qq[here]
+                if not sets_given:
+                    rows = np.unique(np.r_[pp, qq])
+                    yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows)).combine_chunks(), pa.array(node[rows])], names)
+                    continue
                 ok = np.array([_linked(full[x].as_buffer(), full[y].as_buffer(), percent) for x, y in zip(pp.tolist(), qq.tolist(), strict=True)], bool)
                 a, c = node[pp[ok]], node[qq[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -291,7 +321,7 @@ def _across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, lim
         if waiting:
             yield from compared(waiting)
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, f"{names[0]} long, {names[1]} long").distinct()
 
 
 def _best(estimated: DataFrame) -> DataFrame:
@@ -317,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def checked(pairs: DataFrame) -> DataFrame:
         sets = _sets(docs, facts.join(ends(pairs), "node"), id_col, text_col, words)
-        return kept(_verified(pairs, kept(sets)[0], percent))[0]
+        return kept(_verified(pairs, sets, percent))[0]
 
     def labelled(found: DataFrame) -> DataFrame:
         return members.join(found.withColumnRenamed("vertex", "node"), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
@@ -335,8 +365,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(new)
         found, _ = kept(components(links))
     mixed, _ = kept(_mixed(labelled(found)))
-    sets = _sets(docs, facts.join(mixed.select("node").distinct(), "node"), id_col, text_col, words)
-    final = components(links.unionByName(_across(mixed, nodes, kept(sets)[0], bands, limit, percent)))
+    open_, _ = kept(_across(mixed, nodes, None, bands, limit, percent))
+    mixed = mixed.join(open_, ["key", "node"], "left_semi")
+    sets = _sets(docs, facts.join(open_.select("node").distinct(), "node"), id_col, text_col, words)
+    final = components(links.unionByName(_across(mixed, nodes, sets, bands, limit, percent)))
     named = nodes.select("node", "print", "min_id").join(final.withColumnRenamed("vertex", "node"), "node", "left").select("print", "min_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
     labels = named.join(smallest, "component").select("print", "component_id")
