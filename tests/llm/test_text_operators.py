@@ -86,6 +86,22 @@ def test_frequent_lines_reject_depleted_documents(spark):
     assert "footer" not in cleaned.loc[0].text.lower() and len(words(cleaned.loc[0].text)) == 60
 
 
+def test_long_frequent_lines_count(spark):
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = "passage " + fresh(59)
+    rows = [(k, fresh(60) + "\n" + passage.upper(), "en", "hot") for k in range(30)]
+    rows += [(100 + k, fresh(20) + "\n" + passage, "en", "hot") for k in range(5)]
+    rows += [(200 + k, fresh(60) + "\n" + passage, "en", "other") for k in range(5)]
+    judged = quality_rules.quality_verdicts(table(spark, rows), carry=("text", "source"), with_frequent_lines=True, min_docs=20)
+    got = judged.toPandas().set_index("doc_id").sort_index()
+    assert got.loc[:29].kept.all() and (got.loc[:29].words_left == 60).all()
+    assert not got.loc[100:104].kept.any(), "20 of 80 words left"
+    assert got.loc[200:204].kept.all() and (got.loc[200:204].words_left == 120).all(), "under the limit of its host"
+    cleaned = quality_rules.remove_lines(judged, "text", "source", "frequent_lines").toPandas().set_index("doc_id").sort_index()
+    assert "passage" not in cleaned.loc[0].text.lower() and len(words(cleaned.loc[0].text)) == 60
+
+
 def test_sentencepiece_is_exact(spark, sf):
     import public_tokenizers
     import sentencepiece

@@ -5,9 +5,7 @@ together with their host.  A line is *frequent* if more than
 ``max(min_docs, share * documents of the host)`` distinct documents of its
 host carry it; exact copies of a text count as one document.  Frequent lines
 are removed, and a document left with less than ``min_left`` of its words is
-depleted and rejected.  Lines of more than ``max_line_words`` words are not
-candidates: such repeats are copied passages, which the duplicate operators
-handle, and not page furniture.
+depleted and rejected.  Every line with a word is counted, however long.
 
 Counting goes through two aggregations with partial sums on the map side,
 first over (host, line, document), then over (host, line), so that a line or
@@ -61,7 +59,7 @@ def repeated_window_words(hashes: np.ndarray, doc: np.ndarray, n_docs: int, wind
     return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=n_docs)
 
 
-def _measured(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, host_col: str, max_line_words: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, host_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     word_hash = WordHashes()
@@ -82,9 +80,8 @@ def _measured(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, hos
                     repeats += 1
                 else:
                     seen.add(line)
-                if len(own) <= max_line_words:
-                    key = xxhash.xxh3_64_intdigest(host_key + b" ".join(own).translate(LOWER)) - (1 << 63)
-                    lines[key] = lines.get(key, 0) + len(own)
+                key = xxhash.xxh3_64_intdigest(host_key + b" ".join(own).translate(LOWER)) - (1 << 63)
+                lines[key] = lines.get(key, 0) + len(own)
             inside = words[before:]
             counts.append(len(inside))
             joined = b"".join(inside)
@@ -115,7 +112,6 @@ def quality_verdicts(
     *,
     min_docs: int = 20,
     share: float = 0.002,
-    max_line_words: int = 30,
     min_left: float = 0.3,
     carry: tuple[str, ...] = (),
     with_frequent_lines: bool = False,
@@ -130,7 +126,7 @@ def quality_verdicts(
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join(f"_in{k} {kind}" for k, kind in enumerate(kinds))
     schema += ", _n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _print long, _line_keys array<long>, _line_words array<int>"
-    measured = docs.select(*source).mapInArrow(lambda b: _measured(b, id_col, text_col, host_col, max_line_words, keep), schema)
+    measured = docs.select(*source).mapInArrow(lambda b: _measured(b, id_col, text_col, host_col, keep), schema)
     table, _ = kept(measured.withColumn("_row", F.monotonically_increasing_id()))
     host = F.coalesce(F.col(f"_in{keep.index(host_col)}").cast("string"), F.lit(""))
     lines = table.select("_row", host.alias("_host"), "_print", F.explode(F.arrays_zip("_line_keys", "_line_words")).alias("_l")).select("_row", "_host", "_print", F.col("_l._line_keys").alias("_key"), F.col("_l._line_words").alias("_w"))
@@ -149,7 +145,7 @@ def quality_verdicts(
     return out.select(*named)
 
 
-def remove_lines(docs: DataFrame, text_col: str, host_col: str, frequent_col: str, max_line_words: int = 30) -> DataFrame:
+def remove_lines(docs: DataFrame, text_col: str, host_col: str, frequent_col: str) -> DataFrame:
     """``docs`` with the lines of ``frequent_col`` (keys, null for none) removed from the text."""
     fields = docs.schema
 
@@ -165,7 +161,7 @@ def remove_lines(docs: DataFrame, text_col: str, host_col: str, frequent_col: st
                 host_key = str(host if host is not None else "").encode("utf-8", "surrogatepass") + b"\0"
                 for line in texts[k].encode("utf-8", "surrogatepass").split(b"\n"):
                     own = line.split()
-                    if not own or len(own) > max_line_words or xxhash.xxh3_64_intdigest(host_key + b" ".join(own).translate(LOWER)) - (1 << 63) not in gone:
+                    if not own or xxhash.xxh3_64_intdigest(host_key + b" ".join(own).translate(LOWER)) - (1 << 63) not in gone:
                         lines.append(line)
                 texts[k] = b"\n".join(lines).decode("utf-8", "surrogatepass")
             at = batch.schema.get_field_index(text_col)
