@@ -182,6 +182,24 @@ def test_lm_base_and_normalisation(spark, sf):
     assert inside == pytest.approx(sum(c[w] for w in rest) + 0.5 * (len(rest) + 1))
 
 
+def test_lm_trains_on_every_token_once(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(k % 11)), "en", "a") for k in range(60)]
+    docs = table(spark, rows).withColumn("_learn", F.lit(True))
+    tasks, mapped = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append((f, schema)) or mapped(self, f, schema))
+    _, coder, counts = bilinear_lm.fit(docs, "_learn")
+    # The training functions once more, here, with steps that only note their targets.
+    used, want = Counter(), Counter()
+    monkeypatch.setattr(bilinear_lm.Bilinear, "train", lambda self, target, one, *rest: used.update(zip(target.tolist(), one.tolist(), strict=True)))
+    for run, schema in tasks:
+        if schema.startswith("weight") and run is not bilinear_lm._added:
+            list(run(iter(docs.select("text").toArrow().to_batches())))
+    for _, text, *_ in rows:
+        codes = coder([w.encode() for w in words(text, lower=True)]).tolist()
+        want.update(zip(codes, [len(counts), *codes[:-1]], strict=True))
+    assert used == want
+
+
 def test_lm_beats_base_on_held_out_text(spark):
     got = Q.op8_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
     held = got[got.held_out]

@@ -12,11 +12,12 @@ probability within the class, so all token probabilities (with one unseen
 word) sum to one.
 
 Training is noise-contrastive estimation in numpy: each partition starts from
-the same vectors, walks over targets of all its learning documents (every
-``stride``-th token, from a place that depends on the document), with noise
-from the class frequencies; the vectors of all partitions are averaged by
-weight of targets, and this is repeated for ``epochs``.  Averages are formed on
-executors; the driver sees ``classes * dims`` numbers per branch.
+the same vectors and walks over its learning documents, with noise from the
+class frequencies; the vectors of all partitions are averaged by weight of
+targets, and this is repeated for ``epochs``.  An epoch takes every
+``epochs``-th token of each document, the next one beginning a token later, so
+each token of each document is a target once, in one of the epochs.  Averages
+are formed on executors; the driver sees ``classes * dims`` numbers per branch.
 
 Scoring multiplies the context vectors of the distinct contexts of a slice
 with all output vectors at once (batched matrix products), keeps the log
@@ -104,6 +105,22 @@ def contexts(codes: np.ndarray, starts: np.ndarray, start_code: int) -> tuple[np
     return one, two
 
 
+def targets(sizes: np.ndarray, epoch: int, epochs: int) -> np.ndarray:
+    """Places of the tokens trained on in ``epoch``, for documents of ``sizes`` tokens laid end to end."""
+    starts = np.cumsum(sizes) - sizes
+    return np.flatnonzero((np.arange(sizes.sum()) - np.repeat(starts, sizes)) % epochs == epoch)
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their key below ``n``."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(keys.astype(np.uint16) if n <= 1 << 16 else keys, kind="stable")  # numpy sorts short integers by radix
+    ordered = keys[order]
+    at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out[ordered[at]] = np.add.reduceat(rows[order], at)
+    return out
+
+
 class Bilinear:
     """Parameters, training steps and scoring of the model."""
 
@@ -135,7 +152,10 @@ class Bilinear:
     def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, grads: list[np.ndarray], noise: int = 8, rate: float = 0.1) -> None:
         """One step of noise-contrastive estimation, with AdaGrad scaling."""
         n = len(target)
-        fake = np.searchsorted(self.cumulative, rng.random((n, noise)), side="right").clip(0, len(self.unigram) - 1)
+        at = rng.random((n, noise))
+        fake = self.guide[(at * len(self.guide)).astype(np.int64)]
+        while (low := self.cumulative[fake] <= at).any():
+            fake += low
         classes = np.concatenate([target[:, None], fake], 1)
         guess = self.predicted(one, two)
         q = self.output[classes]
@@ -145,16 +165,9 @@ class Bilinear:
         error[:, 0] += 1
         error /= n
         d_guess = np.einsum("nk,nkd->nd", error, q)
-        d_out, d_bias = np.zeros_like(self.output), np.bincount(classes.ravel(), error.ravel(), len(self.bias)).astype(np.float32)
-        flat_q = (error[:, :, None] * guess[:, None, :]).reshape(-1, guess.shape[1])
-        order = np.argsort(classes.ravel(), kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(classes.ravel()[order]) != 0])
-        d_out[classes.ravel()[order][at]] = np.add.reduceat(flat_q[order], at)
-        both, by = np.concatenate([one, two]), np.concatenate([d_guess * self.weights[0], d_guess * self.weights[1]])
-        order = np.argsort(both, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0])
-        d_context = np.zeros_like(self.context)
-        d_context[both[order][at]] = np.add.reduceat(by[order], at)
+        d_bias = np.bincount(classes.ravel(), error.ravel(), len(self.bias)).astype(np.float32)
+        d_out = _summed(classes.ravel(), (error[:, :, None] * guess[:, None, :]).reshape(-1, guess.shape[1]), len(self.output))
+        d_context = _summed(np.concatenate([one, two]), np.concatenate([d_guess * self.weights[0], d_guess * self.weights[1]]), len(self.context))
         d_weights = np.stack([(d_guess * self.context[one]).sum(0), (d_guess * self.context[two]).sum(0)])
         for p, d, g in zip(self.PARTS, (d_context, d_out, d_weights, d_bias), grads, strict=True):
             g += d * d
@@ -162,6 +175,9 @@ class Bilinear:
 
     def prepare(self) -> None:
         self.cumulative = np.cumsum(self.unigram)
+        self.cumulative[-1] = 1
+        # The first class of each cell of [0, 1), from which drawing noise looks on.
+        self.guide = np.searchsorted(self.cumulative, np.arange(1 << 16) / (1 << 16), side="right")
         self.log_noise = np.log(self.unigram).astype(np.float32)
 
     def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -192,7 +208,7 @@ def _coded(batch: pa.RecordBatch, coder: Coder) -> tuple[list[list[bytes]], np.n
     return texts, codes, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
 
 
-def fit(docs: DataFrame, learn_col: str, text_col: str = "text", *, classes: int = 1000, dims: int = 16, epochs: int = 2, stride: int = 8, batch: int = 512) -> tuple[Bilinear, Coder, np.ndarray]:
+def fit(docs: DataFrame, learn_col: str, text_col: str = "text", *, classes: int = 1000, dims: int = 16, epochs: int = 2, batch: int = 512) -> tuple[Bilinear, Coder, np.ndarray]:
     """Parameters, vocabulary and exact class counts from the rows where ``learn_col`` is true."""
     spark = docs.sparkSession
     top = _frequent(docs, learn_col, text_col, classes, 1 / (20 * classes))
@@ -212,11 +228,11 @@ def fit(docs: DataFrame, learn_col: str, text_col: str = "text", *, classes: int
             own = copy.deepcopy(first)
             grads = [np.full(getattr(own, p).shape, 1e-6, np.float32) for p in own.PARTS]
             rng, weight, seen = np.random.default_rng(11 + epoch), 0, np.zeros(len(own.unigram), np.int64)
-            for k, piece in enumerate(slices(batches, "text")):
+            for piece in slices(batches, "text"):
                 _, codes, starts = _coded(piece, coder)
                 one, two = contexts(codes, starts, len(own.unigram))
                 seen += np.bincount(codes, minlength=len(seen))
-                at = np.arange((epoch * 3 + k) % stride, len(codes), stride)
+                at = targets(np.diff(np.r_[starts, len(codes)]), epoch, epochs)
                 rng.shuffle(at)
                 weight += len(at)
                 for a in range(0, len(at), batch):
