@@ -149,6 +149,17 @@ def test_language_held_out_accuracy_and_rejection(spark):
     assert len(odd) == len(ODD) and (odd.lang_pred[[0, 1, 2]] == "und").all() and (odd.score[[0, 1, 2]] == 0).all()
 
 
+def test_language_rejects_very_long_foreign_text():
+    rng = random.Random(6)
+    spoken = [f"{a}{b}" for a in ("the", "and", "with", "for", "from") for b in ("", "se", "m", "ing", "er", "out")]
+    known = lambda n: " ".join(rng.choice(spoken) for _ in range(n))
+    counts, letters = language_id.ngram_counts([known(60) for _ in range(50)])
+    model = language_id.CentroidModel(counts.astype(np.float32), letters, ["en"] * 50)
+    odd = lambda n: " ".join("".join(rng.choice("жщыюяцфъ") for _ in range(6)) for _ in range(n))
+    assert model.predict([odd(60), odd(20_000)])[2].all(), "no text of this length was learnt from"
+    assert not model.predict([known(60), known(20_000)])[2].any()
+
+
 def test_language_without_learning_rows(spark):
     empty = table(spark, [])
     model = language_id.fit(empty, F.lit(True))

@@ -84,9 +84,10 @@ class CentroidModel:
         self.least = np.zeros(40)
         if len(rows):
             cosine, band = (vectors @ self.centres.T).max(1), self.bands(letters)
-            for b in range(5, 40):  # texts of under 32 letters tell too little to be rejected
-                if (band == b).sum() >= 5:
-                    self.least[b] = slack * np.quantile(cosine[band == b], 0.01)
+            filled = [b for b in range(5, 40) if (band == b).sum() >= 5]
+            limits = {b: slack * np.quantile(cosine[band == b], 0.01) for b in filled}
+            for b in range(5, 40) if filled else ():  # texts of under 32 letters tell too little to be rejected
+                self.least[b] = limits[min(filled, key=lambda f: (abs(f - b), f))]
 
     @staticmethod
     def bands(letters: np.ndarray) -> np.ndarray:
