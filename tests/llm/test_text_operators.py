@@ -231,14 +231,30 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="comments"><article class="comment"><p>Nice!</article></div></article><div id="related-posts">More</div><footer>&copy; x</footer></body></html>"""
 
 
+def alone(source):
+    return html_main_text.main_text(html_main_text.Page(source))[0]
+
+
 def test_page_structure():
-    text, _ = html_main_text.main_text(html_main_text.lines_of(PAGE), [])
-    assert text == "Head & tail\n\nFirst para graph.\n\nSecond <one> 1 < 2\n\na\n\nb"
+    assert alone(PAGE) == "Head & tail\n\nFirst para graph.\n\nSecond <one> 1 < 2\n\na\n\nb"
     for broken in ("", None, "<", "<p", "plain", "<p>a</div></p>b", "<script>x", "<![CDATA[a<b]]>", "<p>x &am"):
         html_main_text.lines_of(broken)
 
 
-def test_lcs_matches_dynamic_program():
+def test_only_real_attributes_make_furniture():
+    for inside in (
+        '<p title="Hidden gems">kept</p>', '<p data-id="nav">kept</p>', '<p data-hidden="false">kept</p>', '<h2 id="search-results">kept</h2>',
+        '<section class="related-work"><p>kept</p></section>', "<p>ke<math><mi>p</mi></math>t</p>", "<p data-x='class=\"ad\"'>kept</p>",
+    ):
+        assert alone(f"<article><p>one</p>{inside}</article>") == "one\n\nkept", inside
+    for inside in ("<p hidden>x</p>", '<div class="big ad">x</div>', '<div role="navigation">x</div>', '<p style="display: none">x</p>', '<div id="comments"><p>x</p></div>'):
+        assert alone(f"<article><p>one</p>{inside}</article>") == "one", inside
+
+
+@pytest.mark.parametrize("most", [1 << 27, 4])
+def test_lcs_matches_dynamic_program(monkeypatch, most):
+    whole = html_main_text._aligned
+    monkeypatch.setattr(html_main_text, "_aligned", lambda a, b, bits=most: whole(a, b, bits))
     rng = random.Random(2)
     for _ in range(500):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
@@ -246,24 +262,64 @@ def test_lcs_matches_dynamic_program():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        found = sorted(html_main_text.shared(a, b))
-        rest = iter(b)
-        assert len(found) == best[-1][-1] and all(a[k] in rest for k in found)
+        found = sorted(html_main_text.shared(a, b).items())
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+
+
+def plain_lcs(a, b):
+    best = [[frozenset()] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] | {i} if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+    return best[-1][-1]
 
 
 def test_differencing_without_marks(spark):
-    page = lambda k: f"<div>Home | News</div><div>Story {k}</div><div>Text of story {k}</div><div>Imprint</div>"
+    rng = random.Random(12)
+    story = [[f"story {k} line {j} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) for j in range(rng.randrange(1, 6))] for k in range(90)]
+    lines = [["Home | News", *own, *(["Quoted by some"] if k % 7 == 0 else []), "Imprint"] for k, own in enumerate(story)]
+    page = lambda k: "".join(f"<div>{x}</div>" for x in lines[k])
     rows = [(k, f"http://h/{k:03d}", page(k)) for k in range(90)] + [(200, None, None), (201, "http://h/000", page(0)), (201, "http://h/000", page(0)), (None, "http://solo/", page(7))]
+    rows += [(300 + k, "http://h/045", page(45)) for k in range(40)] + [(None, None, "<p>same</p>")] * 30
     pages = spark.createDataFrame([(*r, "x", 2) for r in rows], "page_id long, url string, html string, _host string, block int")
     whole = html_main_text.extract(pages).toPandas()
-    cut = html_main_text.extract(pages, block_rows=8).toPandas()
+    cut = html_main_text.extract(pages, block_rows=64).toPandas()
+    capped = html_main_text.extract(pages, block_rows=8, usual_blocks=2).toPandas()
     key = lambda f: sorted(map(str, f.itertuples(index=False)))
-    assert key(whole) == key(cut) and len(whole) == len(rows)
+    assert key(whole) == key(cut) == key(capped) and len(whole) == len(rows)
     own = whole.set_index("page_id")
-    assert own.loc[5].text == "Story 5\n\nText of story 5" and own.loc[5].n_shared == 2 and own.loc[200].text == ""
+    for k in range(90):  # the whole operator once more, plainly
+        near = [j for j in range(k - 1, -1, -1)][:3] + [j for j in range(k + 1, 90)][:3]
+        votes = Counter(i for j in near for i in plain_lcs(lines[k], lines[j]))
+        want = "\n\n".join(x for i, x in enumerate(lines[k]) if 2 * votes[i] < len(near))
+        assert own.loc[k].text == want, k
+    assert (own.loc[300:339].text == own.loc[45].text).all(), "copies are passed over"
+    assert own.loc[200].text == "" and (own[own.url == "http://solo/"].text.str.count("\n\n") == len(lines[7]) - 1).all()
     assert html_main_text.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_in_articles_too(spark):
+    rng = random.Random(3)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    own = [[fresh() for _ in range(rng.randrange(2, 5))] for _ in range(30)]
+    quote = "A line that pages quote"
+    body = [["Share this story", *own[k][:1], *([quote] if k % 2 else []), *own[k][1:], "Written by our staff"] for k in range(30)]
+    page = lambda k: f"<div class=x><p>Top {k}</div><article>{''.join(f'<p>{x}</p>' for x in body[k])}</article><div>Terms</div>"
+    rows = [(k, f"http://h/{k:03d}", page(k)) for k in range(30)] + [(100, "http://two/a", page(0)), (101, "http://two/b", page(1))]
+    got = html_main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id")
+    for k in range(30):
+        assert got.loc[k].text == "\n\n".join(x for x in body[k] if x not in (body[k][0], body[k][-1])), k
+        assert got.loc[k].n_shared == 4 and alone(page(k)) == "\n\n".join(body[k])
+    assert got.loc[100].text == "\n\n".join(body[0]), "one page alone is no evidence within an article"
+
+
+def test_very_long_page(spark):
+    rows = [(k, f"http://h/{k}", "<div>Menu</div><article>" + "".join(f"<p>line {j} of {k}" for j in range(20_000)) + "<p>" + "x" * 10**6 + "</article>") for k in range(3)]
+    got = html_main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert (got.text.str.count("\n\n") == 20_000).all() and (got.n_chars > 10**6).all()
+
+
 def test_pages_match_articles(spark, sf):
     import html as h
     import re

@@ -1,22 +1,38 @@
 """Main text of web pages by differencing pages of neighbouring URLs.
 
-Pages are ordered by host, path and id.  Each page's text lines (one a block
-element) are aligned with those of the pages before and after it on its host
-by a longest common subsequence; shared lines are furniture of the site and
-are deleted.  Two checks on the element tree follow: lines of elements that
-are furniture by their name, role or class go even if no neighbour shares
-them, and in a page that marks its article (``article`` or ``main``) only the
-lines in it are taken, of which none is deleted, as pages may quote or copy each
-other.  A neighbour with the very same lines is a copy and tells nothing.
-
-The order is cut into blocks at keys taken from the table; each block also
-gets the last page before and the first page after it, so the neighbours don't
-depend on the cut, a host with a third of all pages spreads over many tasks,
-and the pages are exchanged once.
+Pages are ordered by host, path and id.  Each page is compared with the
+``near`` nearest pages before and after it on its host that aren't copies of it.
+A comparison aligns the text lines (one a block element) of two pages by a
+longest common subsequence; a line that enough of these pages share is
+furniture of the site and is deleted, wherever it stands.  What such a vote
+needs depends on the element tree:
+
+* lines outside of a marked article (``article``, ``main``), and all lines of
+  pages without one: half of the pages compared.  Outside of articles the
+  elements (tags and classes) are aligned as well as the texts, as menus, adverts
+  and footers are templates that each page fills with other words;
+* lines of a marked article: all pages compared, three at least, each with the
+  line in the same place, counted from the article's first or last line, as pages
+  may quote each other.
+
+A page is a copy, which tells nothing, if it shares half of the words of the
+marked article, or all but a twentieth of the words of a page without one.
+
+Two checks of the tree follow for what no neighbour shares: lines of elements
+that are furniture by name, role or class go, and so do lines outside of a
+marked article.  Inside of one only whole class names count, not their parts.
+
+The order is cut into blocks at keys of a sample of the table, some for each
+block; each block also gets the rows up to the next sampled key on both sides.
+Blocks are sorted by Spark and streamed, so their size costs no memory, and a
+host with a third of all pages spreads over many of them.  The pages are exchanged once.
 
 Defined results: null or empty HTML gives an empty text; a null URL has the
 empty host and path; repeated rows each get a result; ties in host and path
-are ordered by id, a null id first; broken markup is read leniently.
+are ordered by id, a null id first, then by the hash of the page; extra columns
+are ignored; an empty table gives an empty result; broken markup is read
+leniently; pages of any length are read whole, and the alignment of pages of
+many lines splits in two so that its memory stays bounded.
 """
 
 from __future__ import annotations
@@ -24,8 +40,11 @@ from __future__ import annotations
 import bisect
 import html
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +53,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracefold.llm.common import column
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog head button select label fieldset".split())
 MAIN = frozenset(("article", "main"))
@@ -46,42 +65,50 @@ CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption li dd dt option
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promotion related replies reply search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Whole class names or ids that are furniture in a marked article too.
+INNER_FURNITURE = frozenset(
+    "ad ads advert advertisement sponsored comment comments comment-list commentlist comments-area reply replies disqus_thread related-posts related-articles share share-buttons sharing social social-links newsletter newsletter-signup cookie-notice sidebar nav navbar menu breadcrumb breadcrumbs pagination pager".split()
+)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIBLING = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = frozenset("ul ol dl table select body article main section div".split())
 
 
 class Line:
-    """A block of text and what the element tree says of it."""
+    """A block of text and what the element tree says of it; ``slot`` are the elements around it."""
+
+    __slots__ = ("text", "furniture", "main", "slot")
+
+    def __init__(self, text: str, furniture: bool, main: bool, slot: str = ""):
+        self.text, self.furniture, self.main, self.slot = text, furniture, main, slot
 
-    __slots__ = ("text", "furniture", "main")
 
-    def __init__(self, text: str, furniture: bool, main: bool):
-        self.text, self.furniture, self.main = text, furniture, main
+def attributes_of(raw: str) -> dict[str, str]:
+    """Lower-case names and values of a tag's attributes."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), (a or b or c).lower())
+    return found
 
 
-def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_furniture(tag: str, own: dict[str, str], in_main: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and in_main):
         return True
-    if not attributes or tag in ("html", "body"):
+    if not own or tag in ("html", "body"):
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in MAIN | {"h1"} and not FURNITURE_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "ad", "advert", "sponsored", "related", "reply"}.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+    if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "") or own.get("role") in FURNITURE_ROLES:
+        return True
+    names = f"{own.get('class', '')} {own.get('id', '')}"
+    if in_main or tag in MAIN:
+        return not INNER_FURNITURE.isdisjoint(names.split())
+    return tag not in HEADINGS and not FURNITURE_WORDS.isdisjoint(_WORD.findall(names))
 
 
 def lines_of(page: str | None) -> list[Line]:
     """The text blocks of a page in order, white space collapsed, references decoded."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, furniture, main (both inherited)
+    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, furniture, main (both inherited), elements
     parts: list[str] = []
     page = page or ""
 
@@ -90,7 +117,7 @@ def lines_of(page: str | None) -> list[Line]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append(Line(text, stack[-1][1], stack[-1][2]))
+                lines.append(Line(text, *stack[-1][1:]))
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -118,7 +145,7 @@ def lines_of(page: str | None) -> list[Line]:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            parts.append(" " if tag in ("svg", "math") else "")
+            parts.append(" " if tag == "svg" else "")
             continue
         if tag in VOID:
             if tag == "hr":
@@ -140,13 +167,14 @@ def lines_of(page: str | None) -> list[Line]:
                     break
                 if stack[k][0] in _SCOPE:
                     break
-        _, furniture, main = stack[-1]
-        own = furniture or _is_furniture(tag, attributes, main)
-        inside = main or (tag in MAIN or 'role="main"' in attributes) and not own
+        _, furniture, main, slot = stack[-1]
+        named = attributes_of(attributes) if "=" in attributes or "hidden" in attributes else {}
+        own = furniture or _is_furniture(tag, named, main)
+        inside = main or (tag in MAIN or named.get("role") == "main") and not own
         if tag in BLOCK or own != furniture:
             flush()
         if not attributes.endswith("/") or tag in BLOCK:
-            stack.append((tag, own, inside))
+            stack.append((tag, own, inside, f"{slot}/{tag}.{named['class']}" if "class" in named else f"{slot}/{tag}"))
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag broken off by the end
@@ -155,133 +183,188 @@ def lines_of(page: str | None) -> list[Line]:
     return lines
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``."""
-    found = set()
+def shared(a: list[str], b: list[str]) -> dict[int, int]:
+    """Positions in ``a``, and those in ``b``, of a longest common subsequence."""
+    found = {}
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
-        found.add(start)
+        found[start] = start
         start += 1
     end = 0
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
-        found.add(len(a) - end)
-    left, right = a[start : len(a) - end], b[start : len(b) - end]
-    both = set(left) & set(right)
-    if not both:
-        return found
-    places = [k for k, x in enumerate(left) if x in both]
-    right = [x for x in right if x in both]
-    # Rows of the dynamic program as bit sets: a zero marks where the length rises.
+        found[len(a) - end] = len(b) - end
+    both = set(a[start : len(a) - end]) & set(b[start : len(b) - end])
+    if both:
+        left, right = ([k for k in range(start, len(x) - end) if x[k] in both] for x in (a, b))
+        found |= {left[i]: right[j] for i, j in _aligned([a[k] for k in left], [b[k] for k in right])}
+    return found
+
+
+def _rows(left: list[str], right: list[str]) -> Iterator[int]:
+    """Rows of the dynamic program as bit sets: a zero marks where the length rises."""
     masks: dict[str, int] = {}
     for j, x in enumerate(right):
         masks[x] = masks.get(x, 0) | 1 << j
     full = (1 << len(right)) - 1
-    rows = [full]
-    for k in places:
-        v, m = rows[-1], masks[left[k]]
-        rows.append(((v + (v & m)) | (v & ~m)) & full)
-    i, j = len(places), len(right)
+    row = full
+    yield row
+    for x in left:
+        m = masks.get(x, 0)
+        row = ((row + (row & m)) | (row & ~m)) & full
+        yield row
+
+
+def _lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """The length of the common subsequence of ``left`` and each prefix of ``right``."""
+    for row in _rows(left, right):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(right) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(right)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def _aligned(left: list[str], right: list[str], most_bits: int = 1 << 27) -> list[tuple[int, int]]:
+    """Positions in both of a longest common subsequence, with about ``most_bits`` of memory."""
+    if not left or not right:
+        return []
+    if len(left) > 1 and len(left) * len(right) > most_bits:  # halve ``left``, and ``right`` where the lengths add up to most
+        half = len(left) // 2
+        to = int((_lengths(left[:half], right) + _lengths(left[half:][::-1], right[::-1])[::-1]).argmax())
+        return _aligned(left[:half], right[:to], most_bits) + [(half + i, to + j) for i, j in _aligned(left[half:], right[to:], most_bits)]
+    rows, found = list(_rows(left, right)), []
+    i, j = len(left), len(right)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
         elif not rows[i - 1] >> (j - 1) & 1:
             i -= 1
         else:
-            found.add(start + places[i - 1])
             i, j = i - 1, j - 1
-    return found
-
-
-def main_text(lines: list[Line], neighbours: list[list[Line]]) -> tuple[str, int]:
-    """The main text of a page, and how many of its lines its neighbours share."""
-    own = [x.text for x in lines]
-    common: set[int] = set()
-    for other in neighbours:
-        texts = [x.text for x in other]
-        if texts != own:
-            common |= shared(own, texts)
-    marked = any(x.main and not x.furniture for x in lines)
-    taken = [x.text for k, x in enumerate(lines) if not x.furniture and (x.main if marked else k not in common)]
-    return "\n\n".join(taken), len(common)
+            found.append((i, j))
+    return found[::-1]
+
+
+class Page:
+    """The lines of a page, with what comparisons need of them."""
+
+    def __init__(self, source: str | None):
+        self.lines = lines_of(source)
+        self.texts = [x.text for x in self.lines]
+        self.marked = any(x.main and not x.furniture for x in self.lines)
+        self.content = [not x.furniture and (x.main or not self.marked) for x in self.lines]
+        self.size = [x.count(" ") + 1 for x in self.texts]
+        self.words = sum(n for n, own in zip(self.size, self.content, strict=True) if own)
+        self.outside = [k for k, own in enumerate(self.content) if not own]
+        self.rank = list(accumulate(map(int, self.content)))  # of a line among those of the content
+        self.slots = [self.lines[k].slot for k in self.outside]
+        self.key = tuple(self.texts)
+
+    def common(self, other: Page) -> set[int] | None:
+        """The lines that ``other`` takes for furniture; None if one is a copy of the other, as far as their content goes."""
+        if self.key == other.key:
+            return None
+        found = shared(self.texts, other.texts)
+        same = sum(self.size[k] for k in found if self.content[k])
+        if same and (2 * same >= self.words if self.marked else 20 * same >= 19 * self.words and 20 * same >= 19 * other.words):
+            return None
+        if self.marked:  # lines of the article only in the same place
+            last, other_last = self.rank[-1], other.rank[-1]
+            found = {k: j for k, j in found.items() if not self.content[k] or self.rank[k] == other.rank[j] or last - self.rank[k] == other_last - other.rank[j]}
+            if other.marked:
+                return {*found, *(self.outside[k] for k in shared(self.slots, other.slots))}
+        return set(found)
+
+
+def furniture_of_site(page: Page, before: Iterable[Page], after: Iterable[Page], near: int = 3) -> set[int]:
+    """The lines shared with enough of the ``near`` nearest pages on each side, copies passed over."""
+    votes, asked = [0] * len(page.lines), 0
+    for side in (before, after):
+        left = near
+        for other in side:
+            found = page.common(other)
+            if found is None:
+                continue
+            asked, left = asked + 1, left - 1
+            for k in found:
+                votes[k] += 1
+            if not left:
+                break
+    guarded = [page.marked and own for own in page.content]
+    return {k for k, n in enumerate(votes) if n and (n >= 3 and n == asked if guarded[k] else 2 * n >= asked)}
+
+
+def main_text(page: Page, before: Iterable[Page] = (), after: Iterable[Page] = (), near: int = 3) -> tuple[str, int]:
+    """The main text of a page, and how many of its lines are deleted as shared."""
+    gone = furniture_of_site(page, before, after, near)
+    return "\n\n".join(x for k, x in enumerate(page.texts) if k not in gone and page.content[k]), len(gone)
 
 
 def _keyed(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^#]*)", 1)
-    return pages.withColumns({"_host": host, "_path": path, "_n": F.coalesce(F.col(id_col).cast("long"), F.lit(-1))})
+    return pages.withColumns({"_host": host, "_path": path, "_n": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_row": F.monotonically_increasing_id()})
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, block_rows: int = 2000, most_blocks: int = 4096) -> DataFrame:
-    """The id and URL columns, ``text``, ``n_chars`` (code points) and ``n_shared`` (lines shared with a neighbour)."""
-    spark = pages.sparkSession
-    keyed = _keyed(pages.select(id_col, url_col, html_col), id_col, url_col)
-    thin = keyed.select("_host", "_path", "_n")
-    blocks = min(most_blocks, -(-thin.count() // block_rows) or 1)
-    # Some of the table's keys, as many as blocks, cut the order.
-    rows = thin.filter(F.pmod(F.xxhash64("_host", "_path", "_n"), F.lit(max(1, block_rows // 8))) == 0).distinct().sort("_host", "_path", "_n").limit(blocks * 64)
-    sampled = [tuple(r) for r in rows.collect()] if blocks > 1 else []
-    cuts = sampled[:: max(1, len(sampled) // blocks)][1:] if sampled else []
+_KEY = ("_host", "_path", "_n", "_row")  # the row only splits pages of one URL and id
+PER_BLOCK = 16
 
-    def block_of(key: tuple) -> int:
-        return bisect.bisect_right(cuts, key)
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([block_of(k) for k in keys], pa.int64()), *b.columns], ["block", *b.schema.names])
-
-    ends = {}
-    if cuts:
-        last = thin.mapInArrow(numbered, "block long, _host string, _path string, _n long").groupBy("block").agg(F.max(F.struct("_host", "_path", "_n")).alias("k"))
-        ends = {r["block"]: tuple(r["k"]) for r in last.collect()}
-    filled = sorted(ends)
-    lasts = {ends[a]: b for a, b in zip(filled, filled[1:], strict=False)}
-    firsts = {cuts[b - 1]: a for a, b in zip(filled, filled[1:], strict=False)}
-    tables = spark.sparkContext.broadcast((cuts, lasts, firsts))  # at most two keys a block
+def _sampled_keys(keyed: DataFrame, block_rows: int, usual_blocks: int) -> list[tuple]:
+    """Keys in order, about ``PER_BLOCK`` for each block of ``block_rows``.
+
+    Tables beyond ``usual_blocks`` blocks get larger blocks, so the driver sees
+    at most about ``usual_blocks * PER_BLOCK`` keys; the sample is even, whatever the size.
+    """
+    thin = keyed.select(*_KEY)
+    rows = thin.count()
+    blocks = min(-(-rows // block_rows), usual_blocks)
+    if blocks < 2:
+        return []
+    step = max(1, rows // (blocks * PER_BLOCK))
+    return sorted(tuple(r) for r in thin.filter(F.pmod(F.xxhash64(*_KEY), F.lit(step)) == 0).collect())
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, near: int = 3, block_rows: int = 2048, usual_blocks: int = 20_000) -> DataFrame:
+    """The id and URL columns, ``text``, ``n_chars`` (code points) and ``n_shared`` (lines deleted as shared)."""
+    spark = pages.sparkSession
+    keyed = _keyed(pages.select(id_col, url_col, html_col), id_col, url_col)
+    keys = spark.sparkContext.broadcast(_sampled_keys(keyed, block_rows, usual_blocks))
+    blocks = len(keys.value) // PER_BLOCK + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, lasts, firsts = tables.value
         for b in batches:
             take, to, context = [], [], []
-            for k, key in enumerate(zip(*(column(b, c).to_pylist() for c in ("_host", "_path", "_n")), strict=True)):
-                take.append(k)
-                to.append(bisect.bisect_right(cuts, key))
-                context.append(False)
-                for other in (lasts.get(key), firsts.get(key)):
-                    if other is not None:
-                        take.append(k)
-                        to.append(other)
-                        context.append(True)
+            for k, key in enumerate(zip(*(column(b, c).to_pylist() for c in _KEY), strict=True)):
+                own, place = divmod(bisect.bisect_right(keys.value, key), PER_BLOCK)
+                others = [own - 1] * (place == 0 and own > 0) + [own + 1] * (place == PER_BLOCK - 1 and own + 1 < blocks)
+                take += [k] * (1 + len(others))
+                to += [own, *others]
+                context += [False] + [True] * len(others)
             out = b.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to, pa.int64()), pa.array(context, pa.bool_())], [*out.schema.names, "block", "context"])
 
-    named = keyed.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), "_host", "_path", "_n")
+    named = keyed.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), F.xxhash64(html_col).alias("_hash"), *_KEY)
     kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
-    routed = named.mapInArrow(route, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", block long, context boolean")
-    ordered = routed.repartition("block").sortWithinPartitions("block", "_host", "_path", "_n")
+    routed = named.mapInArrow(route, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", block long, context boolean").drop("_row")
+    ordered = routed.repartition(blocks, "block").sortWithinPartitions("block", "_host", "_path", "_n", "_hash")
 
     id_type = to_arrow_type(named.schema["_id"].dataType)
 
-    def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pages_in() -> Iterator[tuple]:
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    yield from zip(*(column(b.slice(at, 256), c).to_pylist() for c in ("_id", "_url", "block", "_host", "context", "_html")), strict=True)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                yield from zip(*(column(b.slice(at, 64), c).to_pylist() for c in ("block", "_host", "_id", "_url", "context", "_hash", "_html")), strict=True)
 
+    def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        before = current = None
-        for following in _with_end(pages_in()):
-            after = (*following[:5], lines_of(following[5])) if following else None
-            if current and not current[4]:
-                near = [x[5] for x in (before, after) if x and x[2] == current[2] and x[3] == current[3]]
-                text, n_shared = main_text(current[5], near)
-                out.append((current[0], current[1], text, len(text), n_shared))
+        for _, site in groupby(rows_of(batches), key=lambda r: r[:2]):
+            for page, before, after, rows in _with_neighbours(site, 4 * near):
+                found = main_text(page, before, after, near)
+                out += [(i, url, found[0], len(found[0]), found[1]) for i, url in rows]
                 if len(out) >= 500:
                     yield _packed(out, id_type)
                     out = []
-            before, current = current, after
         if out:
             yield _packed(out, id_type)
 
@@ -289,9 +372,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return found.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars", "n_shared")
 
 
-def _with_end(rows: Iterator[tuple]) -> Iterator[tuple | None]:
-    yield from rows
-    yield None
+def _with_neighbours(site: Iterator[tuple], reach: int) -> Iterator[tuple[Page, list[Page], list[Page], list[tuple]]]:
+    """Runs of equal pages of a site with up to ``reach`` others before and after, nearest first, and the rows to answer."""
+    runs = ((Page(html_), [(r[2], r[3]) for r in rows if not r[4]]) for (_, html_), rows in groupby(site, key=lambda r: (r[5], r[6])))
+    before: deque[Page] = deque(maxlen=reach)
+    ahead: deque[tuple] = deque()
+    for run in chain(runs, [None] * reach):
+        if run:
+            ahead.append(run)
+            if len(ahead) <= reach:
+                continue
+        elif not ahead:
+            break
+        page, rows = ahead.popleft()
+        if rows:
+            yield page, list(before)[::-1], [x[0] for x in ahead], rows
+        before.append(page)
 
 
 def _packed(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
