@@ -167,62 +167,122 @@ def test_language_without_learning_rows(spark):
     assert set(language_id.identify(table(spark, ODD), model).toPandas().lang_pred) == {"und"}
 
 
-def test_lm_base_and_normalisation(spark, sf):
-    docs = Q.read(spark, sf, "documents").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "the the zzzz")], "doc_id long, text string"), allowMissingColumns=True)
+def lm_parts(docs, learn, **options):
+    marked = docs.withColumn("_learn", learn)
+    listed = bilinear_lm.list_words(bilinear_lm.count_words(marked, "_learn", "text"), **options)
+    return listed, bilinear_lm.encode(marked, listed, "_learn", bucket_tokens=20_000)
+
+
+def log_softmax(x):
+    return [y - max(x) - math.log(sum(math.exp(z - max(x)) for z in x)) for y in x]
+
+
+def plain_score(model, listed, counts, own):
+    """The score of a list of words (the end among them) by plain sums over the model's arrays."""
+    codes = {w: k for k, w in enumerate(listed.words)}
+    code = lambda w: codes.get(w.encode(), len(codes) + bilinear_lm.rest_class(w.encode()))
+    context, output, inner, weights = (np.float64(getattr(model, p)) for p in ("context", "output", "word_output", "weights"))
+    group_of = {k: g for g, (a, b) in enumerate(zip(listed.edges, listed.edges[1:], strict=False)) for k in range(a, b)}
+    total, before = 0.0, [listed.start, listed.start]
+    for w in own:
+        k = code(w)
+        guess = context[before[1]] * weights[0] + context[before[0]] * weights[1]
+        classes = log_softmax([guess @ q[:-1] + q[-1] for q in output])
+        if k < listed.singles:
+            found = classes[k]
+        elif k in group_of:
+            a, b = listed.edges[group_of[k]], listed.edges[group_of[k] + 1]
+            found = classes[listed.singles + group_of[k]] + log_softmax([guess @ q[:-1] + q[-1] for q in inner[a:b]])[k - a]
+        else:
+            r = k - len(codes)
+            found = classes[listed.singles + len(listed.edges) - 1 + r] + math.log((counts[w] + 0.5) / (listed.rest_n[r] + 0.5 * (listed.rest_v[r] + 1)))
+        total += found / math.log(10)
+        before = [before[1], k]
+    return total
+
+
+def test_lm_matches_a_plain_version(spark, sf):
+    docs = Q.read(spark, sf, "documents").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "the the zzzz"), (10**6 + 2, "the the zzzz")], "doc_id long, text string"), allowMissingColumns=True)
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))
-    model, coder, counts = bilinear_lm.fit(docs.withColumn("_learn", learn), "_learn", classes=200)
-    got = {r.doc_id: r for r in bilinear_lm.score(docs, model, coder, counts, learn).collect()}
+    listed, coded = lm_parts(docs, learn, min_count=6, singles=20, groups=9)
+    assert len(listed.edges) == 10 and (np.diff(listed.edges) > 2).all() and listed.rest_v.min() > 0
+    model = bilinear_lm.fit(coded, listed, shard_docs=50)
+    found = bilinear_lm.score(coded, model, listed).collect()
     rows = docs.collect()
     c = Counter()
     for r in rows:
         if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
             c.update([*words(r.text, True), "\n"])
     n, v = sum(c.values()), len(c)
+    assert (listed.total, listed.distinct) == (n, v) and all(c[w.decode()] == k for w, k in zip(listed.words, listed.counts, strict=True))
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and len(got) == len(rows) - 1
+    short = {r.doc_id for r in sorted(rows, key=lambda r: len(r.text or ""))[:40]}
     for r in rows:
         own = [*words(r.text, True), "\n"]
         want = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
         x = got[r.doc_id]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
         assert x.base_score == pytest.approx(want, abs=1e-6)
-    # Class probabilities of a context add up to one, and so do those of words within a class.
-    k = len(model.bias)
-    logs = model.log10_probability(np.arange(k), np.full(k, 3), np.full(k, 5), {})
+        if r.doc_id in short:
+            assert x.score == pytest.approx(plain_score(model, listed, c, own), rel=1e-4, abs=1e-4)
+    # Probabilities of all codes after a context add up to one, and so do those of words within a rest class.
+    k = listed.start
+    logs = model.log10_probability(np.arange(k), np.full(k, 3), np.full(k, 5))
     assert (10.0**logs).sum() == pytest.approx(1, abs=1e-3)
-    rest = [w for w in c if w.encode() not in coder.codes]
-    inside = sum((c[w] + 0.5) for w in rest) + 0.5
-    assert inside == pytest.approx(sum(c[w] for w in rest) + 0.5 * (len(rest) + 1))
+    for r in range(bilinear_lm.RESTS):
+        rest = [w for w in c if w.encode() not in set(listed.words) and bilinear_lm.rest_class(w.encode()) == r]
+        assert sum(c[w] + 0.5 for w in rest) + 0.5 == pytest.approx(listed.rest_n[r] + 0.5 * (listed.rest_v[r] + 1))
+
+
+def test_lm_does_not_depend_on_partitions(spark, sf):
+    docs = Q.read(spark, sf, "documents").select("doc_id", "text")
+    key = lambda f: sorted((r.doc_id, r.base_score, r.score) for r in f.collect())
+    one, many = ([], [])
+    for parts, out in ((1, one), (7, many)):
+        listed, coded = lm_parts(docs.repartition(parts), F.lit(True), min_count=5)
+        model = bilinear_lm.fit(coded, listed, shard_docs=60)
+        out.append(np.concatenate([getattr(model, p).ravel() for p in model.PARTS]))
+        out.append(key(bilinear_lm.score(coded, model, listed)))
+    assert (one[0] == many[0]).all()
+    assert all(a == pytest.approx(b, rel=1e-5) for a, b in zip(one[1], many[1], strict=True))
 
 
 def test_lm_trains_on_every_token_once(spark, monkeypatch):
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(k % 11)), "en", "a") for k in range(60)]
-    docs = table(spark, rows).withColumn("_learn", F.lit(True))
-    tasks, mapped = [], type(docs).mapInArrow
-    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append((f, schema)) or mapped(self, f, schema))
-    _, coder, counts = bilinear_lm.fit(docs, "_learn")
-    # The training functions once more, here, with steps that only note their targets.
+    listed, coded = lm_parts(table(spark, rows), F.lit(True), min_count=1)
+    assert len(listed.words) == listed.distinct == 1 + sum(k % 11 for k in range(60))
     used, want = Counter(), Counter()
     monkeypatch.setattr(bilinear_lm.Bilinear, "train", lambda self, target, one, *rest: used.update(zip(target.tolist(), one.tolist(), strict=True)))
-    for run, schema in tasks:
-        if schema.startswith("weight") and run is not bilinear_lm._added:
-            list(run(iter(docs.select("text").toArrow().to_batches())))
+    tasks, mapped = [], type(coded).mapInArrow
+    monkeypatch.setattr(type(coded), "mapInArrow", lambda self, f, schema: tasks.append((self, f)) or mapped(self, f, schema))
+    bilinear_lm.fit(coded, listed, shard_docs=7, chunk=50)
+    for frame, run in tasks:  # the training functions once more, here, with steps that only note their targets
+        if "codes" in frame.columns:
+            list(run(iter(frame.toArrow().to_batches(max_chunksize=5))))
     for _, text, *_ in rows:
-        codes = coder([w.encode() for w in words(text, lower=True)]).tolist()
-        want.update(zip(codes, [len(counts), *codes[:-1]], strict=True))
+        codes = bilinear_lm.Coder(listed.words)(words(text, lower=True) and [w.encode() for w in words(text, lower=True)]).tolist()
+        want.update(zip(codes, [listed.start, *codes[:-1]], strict=True))
     assert used == want
 
 
 def test_lm_beats_base_on_held_out_text(spark):
     got = Q.op8_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
     held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum()
+    assert held.score.sum() > 0.97 * held.base_score.sum() and held.score.sum() > held.base_score.sum()
 
 
 def test_lm_without_rows(spark):
     empty = table(spark, [])
-    model, coder, counts = bilinear_lm.fit(empty.withColumn("_learn", F.lit(True)), "_learn")
-    assert bilinear_lm.score(empty, model, coder, counts, F.lit(True)).count() == 0
-    one = bilinear_lm.score(table(spark, ODD), model, coder, counts, F.lit(False)).toPandas()
-    assert len(one) == len(ODD) and (one.n_known == 0).all()
+    assert bilinear_lm.learn_and_score(empty, F.lit(True)).count() == 0
+    one = bilinear_lm.learn_and_score(table(spark, ODD), F.lit(False)).toPandas()
+    assert len(one) == len(ODD) and (one.n_known == 0).all() and (one.train_tokens == 0).all()
+
+
+def test_lm_very_long_text(spark):
+    rows = [(1, "a b c " * 300_000, "en", "x"), (2, "a b", "en", "x"), (3, "d" * 10**6, "en", "x")]
+    got = bilinear_lm.learn_and_score(table(spark, rows), F.lit(True)).toPandas().set_index("doc_id")
+    assert got.n_tokens.to_dict() == {1: 900_001, 2: 3, 3: 2} and np.isfinite(got.score).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">

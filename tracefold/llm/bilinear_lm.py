@@ -3,44 +3,55 @@
 Base: every token counts, over all learning documents, with half a count added
 (``log10((c + 0.5) / (N + 0.5 (V + 1)))``).
 
-Model: words are the ``classes - 1`` most frequent ones, and a class for all
-others.  With context vectors r, output vectors q, position weights C and
-biases b, the log-bilinear score of class w after classes u1, u2 is
-``(C1 r_u1 + C2 r_u2) . q_w + b_w``; the softmax over all classes normalises
-it.  A word outside the list has the class probability times its base
-probability within the class, so all token probabilities (with one unseen
-word) sum to one.
-
-Training is noise-contrastive estimation in numpy: each partition starts from
-the same vectors and walks over its learning documents, with noise from the
-class frequencies; the vectors of all partitions are averaged by weight of
-targets, and this is repeated for ``epochs``.  An epoch takes every
+Model: the list holds the words met at least ``min_count`` times, the
+``most_words`` most frequent if there are more, so it grows with the corpus up
+to what a worker can hold.  Outputs have two levels: the most frequent words are
+classes of their own, the other listed words are dealt to groups of words with
+similar endings, and all remaining words to ``rests`` classes by a hash of
+their ending, so every word has learnt vectors, if shared ones.  With context
+vectors r (of listed words and rest classes), position weights C, output
+vectors q and biases b, class k has the score ``(C1 r_u1 + C2 r_u2) . q_k + b_k``
+after the tokens u1, u2; the softmax over classes normalises it.  Words of a group have scores
+of the same form, normalised within the group; words of a rest class share it
+by their base counts, with one unseen word.  So all probabilities sum to one.
+
+Training is noise-contrastive estimation in numpy on both levels: classes
+against noise shared by a batch, words of a group against noise of the group.
+Learning documents are dealt to shards of about ``shard_docs`` by a hash of
+their id and text, each shard trains from the same vectors in the order of
+that hash, and the vectors of all shards are averaged, each row weighed by how
+often a shard used it; this is repeated for ``epochs``.  An epoch takes every
 ``epochs``-th token of each document, the next one beginning a token later, so
-each token of each document is a target once, in one of the epochs.  Averages
-are formed on executors; the driver sees ``classes * dims`` numbers per branch.
+each token of each document is a target once.  Averages are sums of fixed-point
+integers, so neither partitions nor their order change a result.  They are
+formed on executors; the driver sees one model an epoch.
 
 Scoring multiplies the context vectors of the distinct contexts of a slice
-with all output vectors at once (batched matrix products), keeps the log
-normalisers of contexts, and takes each token's score as one dot product.
+with all class vectors at once (batched matrix products), and those of the
+tokens of each group with the group's.
 
-The counts of listed words come with the first epoch.  Other words need theirs
-per document: each slice of documents sends, per bucket of word hashes, one
-packed row of (word, document, times); a bucket counts its words over the
-learning documents and sends the counts back to the slice, which sums
-``log10(c + 0.5)`` per document.  Both exchanges carry a few bytes for each word
-of a document, whatever the number of buckets, and a listed word, be it a
-third of all tokens, takes no part in them.
+Steps: words are counted (partial counts a task); texts are encoded once, as a
+written table that training and scoring read.  Words outside the list need
+their base counts per document: each slice of documents sends, per bucket of
+word hashes, one packed row of (word, document, times); a bucket counts its
+words over the learning documents and sends the counts back to the slice, which
+sums ``log10(c + 0.5)`` per document.  Buckets grow in number with the corpus.  A
+listed word, be it a third of all tokens, takes no part in this.
 
 Defined results: a null or empty text is the end token alone; a null id is not
 held out; repeated rows are separate documents, each counted; without learning
-rows all counts are 0.
+rows all counts are 0 and the model is untrained; an empty table gives an empty
+result; extra columns are ignored; texts of any length are counted, trained on
+and scored whole, a document being the least that a task handles at once.
 """
 
 from __future__ import annotations
 
 import copy
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,57 +62,121 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tracefold.llm.common import WordHashes, column, kept, slices, words_of
 
-END = "\n"  # no word holds a line end
+END = b"\n"  # no word holds a line end
+RESTS = 64
 
 
-def _frequent(docs: DataFrame, learn_col: str, text_col: str, classes: int, share: float) -> list[tuple[bytes, int]]:
-    """The most frequent words (the end among them) with their counts.
+def rest_class(word: bytes) -> int:
+    """The class of a word outside the list, by its ending."""
+    return zlib.crc32(word[-3:]) % RESTS
 
-    Tasks count all their words and send those that make up more than ``share``
-    of the task's tokens; sums of these order the list.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tokens, floor = Counter(), 0, 0
-        for batch in slices(batches, "text"):
-            for text in column(batch.filter(column(batch, "learn")), "text").to_pylist():
-                own = words_of(text, lower=True)
-                counts.update(own)
-                tokens += len(own) + 1
-                counts[END.encode()] += 1
-            if len(counts) > 500_000:  # lossy counting: what is rare so far can't become frequent in this task unnoticed
-                floor += 1
-                counts = Counter({w: c for w, c in counts.items() if c > floor})
-        top = [(w, c) for w, c in counts.items() if c > share * tokens]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "n"])
 
-    parts = docs.select(F.col(learn_col).alias("learn"), F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(classes - 1)
-    return [(bytes(r["word"]), r["n"]) for r in top.collect()]
+def count_words(docs: DataFrame, learn_col: str, text_col: str) -> DataFrame:
+    """word, n: all words of the rows where ``learn_col`` is true, the end of each text among them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-class Coder:
-    """Words to class codes: 0 for words outside the list, which begins at 1."""
+        counts: Counter[bytes] = Counter()
+        for batch in slices(batches, "text"):
+            texts = column(batch, "text").to_pylist()
+            for text in texts:
+                counts.update(words_of(text, lower=True))
+            counts[END] += len(texts)
+            if len(counts) > 500_000:
+                yield packed()
+                counts = Counter()
+        if counts:
+            yield packed()
+
+    parts = docs.filter(learn_col).select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
+    return kept(parts.groupBy("word").agg(F.sum("n").alias("n")))[0]
+
+
+@dataclass
+class Words:
+    """The listed words in the order of their codes, and what is known of the others.
+
+    The first ``singles`` codes are classes of their own; the codes of group g
+    begin at ``edges[g]`` and end at ``edges[g + 1]``.  Rest classes follow the listed
+    words, and the start of a text is the last code.
+    """
 
-    def __init__(self, words: list[bytes]):
-        self.codes = {w: k for k, w in enumerate(words, 1)}
-        self.end = self.codes.get(END.encode(), 0)
+    words: list[bytes]
+    counts: np.ndarray
+    singles: int
+    edges: np.ndarray
+    rest_n: np.ndarray  # tokens and distinct words of each rest class
+    rest_v: np.ndarray
+
+    @property
+    def start(self) -> int:
+        return len(self.words) + RESTS
+
+    @property
+    def total(self) -> int:
+        return int(self.counts.sum() + self.rest_n.sum())
+
+    @property
+    def distinct(self) -> int:
+        return int((self.counts > 0).sum() + self.rest_v.sum())
+
+    def class_of(self) -> np.ndarray:
+        """The class of each code but the last."""
+        groups = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges)) + self.singles
+        return np.r_[np.arange(self.singles), groups, np.arange(RESTS) + self.singles + len(self.edges) - 1].astype(np.int64)
+
+
+def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 32_000, singles: int = 256, groups: int = 192) -> Words:
+    """The list from a table of all words (word, n)."""
+    top = counted.filter((F.col("n") >= min_count) | (F.col("word") == F.lit(bytearray(END)))).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    rows = [(bytes(r["word"]), r["n"]) for r in top]
+    listed = {w for w, _ in rows}
+    shared = counted.sparkSession.sparkContext.broadcast(listed)  # at most ``most_words`` words
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(RESTS, np.int64), np.zeros(RESTS, np.int64)
+        for b in batches:
+            for word, times in zip(column(b, "word").to_pylist(), column(b, "n").to_pylist(), strict=True):
+                if word not in shared.value:
+                    n[rest_class(word)] += times
+                    v[rest_class(word)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RESTS)), pa.array(n), pa.array(v)], ["c", "n", "v"])
+
+    found = {r["c"]: (r["n"], r["v"]) for r in counted.mapInArrow(rest, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    grouped = sorted(rows[singles:], key=lambda x: (x[0][::-1], x[0]))
+    ordered = rows[:singles] + grouped
+    edges = len(rows[:singles]) + np.linspace(0, len(grouped), min(groups, len(grouped)) + 1).astype(int) if grouped else np.array([len(ordered)])
+    n, v = (np.array([found.get(c, (0, 0))[k] for c in range(RESTS)], np.int64) for k in (0, 1))
+    return Words([w for w, _ in ordered], np.array([n for _, n in ordered], np.int64), len(rows[:singles]), edges, n, v)
+
+
+class Coder(dict):
+    """Codes of words; remembers those outside the list up to a bound of entries."""
+
+    def __init__(self, words: list[bytes], most: int = 400_000):
+        super().__init__({w: k for k, w in enumerate(words)})
+        self.listed, self.most, self.n = dict(self), len(self) + most, len(words)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.listed)
+        self[word] = code = self.n + rest_class(word)
+        return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        get = self.codes.get
-        out = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        return np.append(out, self.end)
+        """The codes of a text and its end."""
+        return np.fromiter(map(self.__getitem__, [*words, END]), np.uint16, len(words) + 1)
 
 
 def contexts(codes: np.ndarray, starts: np.ndarray, start_code: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class before and the class two before each token; ``start_code`` before a text."""
+    """The code before and the code two before each token; ``start_code`` before a text."""
     one = np.r_[start_code, codes[:-1]]
     one[starts] = start_code
-    two = np.r_[start_code, start_code, codes[:-2]][: len(codes)]
+    two = np.r_[start_code, one[:-1]]
     two[starts] = start_code
-    second = starts + 1
-    second = second[second < len(codes)]
-    two[second[~np.isin(second, starts)]] = start_code
     return one, two
 
 
@@ -111,265 +186,333 @@ def targets(sizes: np.ndarray, epoch: int, epochs: int) -> np.ndarray:
     return np.flatnonzero((np.arange(sizes.sum()) - np.repeat(starts, sizes)) % epochs == epoch)
 
 
-def _summed(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by their key below ``n``."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(keys.astype(np.uint16) if n <= 1 << 16 else keys, kind="stable")  # numpy sorts short integers by radix
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the sums of their ``rows``, and how many each has."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # numpy sorts short integers by radix
     ordered = keys[order]
     at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out[ordered[at]] = np.add.reduceat(rows[order], at)
-    return out
+    return ordered[at], np.add.reduceat(rows[order], at), np.diff(np.r_[at, len(keys)])
 
 
 class Bilinear:
     """Parameters, training steps and scoring of the model."""
 
-    def __init__(self, frequency: np.ndarray, dims: int = 16, seed: int = 3):
-        k = len(frequency)
+    #: Arrays of parameters; each row is averaged by how often shards used it.
+    PARTS = ("context", "output", "word_output", "weights")
+
+    def __init__(self, words: Words, dims: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.unigram = (frequency / frequency.sum()).astype(np.float64)
-        self.context = (rng.standard_normal((k + 1, dims)) * 0.1).astype(np.float32)  # the last is the start of a text
-        self.output = (rng.standard_normal((k, dims)) * 0.1).astype(np.float32)
+        self.start, self.singles, self.edges, self.listed = words.start, words.singles, words.edges, len(words.words)
+        self.class_of = words.class_of()
+        n_classes = words.singles + len(words.edges) - 1 + RESTS
+        mass = np.maximum(np.r_[words.counts, words.rest_n].astype(np.float64), 0.5)
+        by_class = np.bincount(self.class_of, mass, n_classes)
+        self.class_share = by_class / by_class.sum()
+        self.cumulative = np.cumsum(np.r_[0.0, mass[: self.listed]])
+        self.word_share = mass / by_class[self.class_of]  # of a word in its class
+        # The last column of outputs is the bias, that of contexts does nothing.
+        self.context = (rng.standard_normal((self.start + 1, dims)) * 0.1).astype(np.float32)
+        self.output = np.c_[rng.standard_normal((n_classes, dims)) * 0.1, np.log(self.class_share)].astype(np.float32)
+        self.word_output = np.c_[rng.standard_normal((self.listed, dims)) * 0.1, np.log(self.word_share[: self.listed])].astype(np.float32)
         self.weights = np.full((2, dims), 0.5, np.float32)
-        self.bias = np.log(self.unigram).astype(np.float32)
-
-    PARTS = ("context", "output", "weights", "bias")
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, p).ravel() for p in self.PARTS]).astype(np.float32)
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
+    def fresh(self) -> Bilinear:
+        """A copy to train, with the state of AdaGrad and the uses of each row."""
+        own = copy.copy(self)
         for p in self.PARTS:
-            shape = getattr(self, p).shape
-            n = int(np.prod(shape))
-            setattr(self, p, flat[at : at + n].reshape(shape).astype(np.float32))
-            at += n
+            setattr(own, p, getattr(self, p).copy())
+        own.squares = {p: np.full(getattr(self, p).shape, 0.1, np.float32) for p in self.PARTS}
+        own.uses = {p: np.zeros(len(getattr(self, p)), np.int64) for p in self.PARTS}
+        return own
+
+    def _step(self, part: str, rows: np.ndarray | slice, gradient: np.ndarray, uses: np.ndarray | int, rate: float) -> None:
+        squares = self.squares[part][rows] + gradient * gradient
+        self.squares[part][rows] = squares
+        getattr(self, part)[rows] += rate * gradient / np.sqrt(squares)
+        self.uses[part][rows] += uses
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.weights[0] + self.context[two] * self.weights[1]
 
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, grads: list[np.ndarray], noise: int = 8, rate: float = 0.1) -> None:
-        """One step of noise-contrastive estimation, with AdaGrad scaling."""
-        n = len(target)
-        at = rng.random((n, noise))
-        fake = self.guide[(at * len(self.guide)).astype(np.int64)]
-        while (low := self.cumulative[fake] <= at).any():
-            fake += low
-        classes = np.concatenate([target[:, None], fake], 1)
+    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, noise: int = 64, group_noise: int = 4, rate: float = 0.1) -> None:
+        """One step of noise-contrastive estimation on both levels, with AdaGrad scaling."""
         guess = self.predicted(one, two)
-        q = self.output[classes]
-        score = np.einsum("nd,nkd->nk", guess, q) + self.bias[classes]
-        odds = score - self.log_noise[classes] - np.float32(np.log(noise))
-        error = -1 / (1 + np.exp(-odds))  # gradient of the log likelihood by the score
-        error[:, 0] += 1
-        error /= n
-        d_guess = np.einsum("nk,nkd->nd", error, q)
-        d_bias = np.bincount(classes.ravel(), error.ravel(), len(self.bias)).astype(np.float32)
-        d_out = _summed(classes.ravel(), (error[:, :, None] * guess[:, None, :]).reshape(-1, guess.shape[1]), len(self.output))
-        d_context = _summed(np.concatenate([one, two]), np.concatenate([d_guess * self.weights[0], d_guess * self.weights[1]]), len(self.context))
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        # Classes, against classes drawn for the whole batch.
+        wanted = self.class_of[target]
+        fake = rng.choice(len(self.class_share), noise, p=self.class_share)
+        log_noise = np.log(noise * self.class_share).astype(np.float32)
+        q, f = self.output[wanted], self.output[fake]
+        error = 1 - sigmoid((guess * q[:, :-1]).sum(1) + q[:, -1] - log_noise[wanted])
+        wrong = -sigmoid(guess @ f[:, :-1].T + f[:, -1] - log_noise[fake])
+        d_guess = error[:, None] * q[:, :-1] + wrong @ f[:, :-1]
+        by_fake = np.c_[wrong.T @ guess, wrong.sum(0)]
+        rows = np.concatenate([np.c_[error[:, None] * guess, error], by_fake])
+        keys, sums, n = _summed(np.r_[wanted, fake], rows)
+        # Words of a group, each against words of its group.
+        inner = np.flatnonzero((target >= self.singles) & (target < self.listed))
+        if len(inner):
+            word = target[inner]
+            group = wanted[inner] - self.singles
+            low, high = self.cumulative[self.edges[group]], self.cumulative[self.edges[group + 1]]
+            drawn = np.searchsorted(self.cumulative, low[:, None] + rng.random((len(inner), group_noise)) * (high - low)[:, None], side="right") - 1
+            both = np.c_[word, np.clip(drawn, self.edges[group][:, None], self.edges[group + 1][:, None] - 1)]
+            w, g = self.word_output[both], guess[inner]
+            odds = np.einsum("nd,nkd->nk", g, w[:, :, :-1]) + w[:, :, -1] - np.log(group_noise * self.word_share[both]).astype(np.float32)
+            off = -sigmoid(odds)
+            off[:, 0] += 1
+            d_guess[inner] += np.einsum("nk,nkd->nd", off, w[:, :, :-1])
+            grown = np.concatenate([off[:, :, None] * g[:, None, :], off[:, :, None]], 2).reshape(-1, w.shape[2])
+            at, total, times = _summed(both.ravel(), grown)
+            self._step("word_output", at, total, times, rate)
+        self._step("output", keys, sums, n, rate)
         d_weights = np.stack([(d_guess * self.context[one]).sum(0), (d_guess * self.context[two]).sum(0)])
-        for p, d, g in zip(self.PARTS, (d_context, d_out, d_weights, d_bias), grads, strict=True):
-            g += d * d
-            setattr(self, p, getattr(self, p) + rate * d / (np.sqrt(g) + 1e-6))
-
-    def prepare(self) -> None:
-        self.cumulative = np.cumsum(self.unigram)
-        self.cumulative[-1] = 1
-        # The first class of each cell of [0, 1), from which drawing noise looks on.
-        self.guide = np.searchsorted(self.cumulative, np.arange(1 << 16) / (1 << 16), side="right")
-        self.log_noise = np.log(self.unigram).astype(np.float32)
-
-    def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log sums over all classes for the given contexts, in blocks."""
-        out = np.empty(len(one))
-        for at in range(0, len(one), 2048):
-            s = self.predicted(one[at : at + 2048], two[at : at + 2048]) @ self.output.T + self.bias
-            top = s.max(1, keepdims=True)
-            out[at : at + 2048] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        return out
+        at, total, times = _summed(np.r_[one, two], np.concatenate([d_guess * self.weights[0], d_guess * self.weights[1]]))
+        self._step("context", at, total, times, rate)
+        self._step("weights", slice(None), d_weights, len(target), rate)
+
+    def fixed_sums(self, bits: int) -> list[np.ndarray]:
+        """Every part as integers: its rows times their uses, and the uses."""
+        return [x for p in self.PARTS for x in (np.rint(np.ldexp(getattr(self, p).astype(np.float64) * self.uses[p][:, None], bits)).astype(np.int64), self.uses[p])]
 
-    def log10_probability(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, known: dict) -> np.ndarray:
-        """Normalised log probabilities of classes; ``known`` keeps normalisers of contexts."""
-        k = len(self.context)
-        if "z" not in known:
-            known["z"] = np.full(k * k, np.nan, np.float32)
-        key = one * k + two
-        new = np.unique(key[np.isnan(known["z"][key])])
-        if len(new):
-            known["z"][new] = self.normalisers(new // k, new % k)
-        score = np.einsum("nd,nd->n", self.predicted(one, two), self.output[target]) + self.bias[target]
-        return (score - known["z"][key]) / np.log(10)
-
-
-def _coded(batch: pa.RecordBatch, coder: Coder) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    texts = [words_of(t, lower=True) for t in column(batch, "text").to_pylist()]
-    codes = np.concatenate([coder(t) for t in texts])
-    return texts, codes, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-
-
-def fit(docs: DataFrame, learn_col: str, text_col: str = "text", *, classes: int = 1000, dims: int = 16, epochs: int = 2, batch: int = 512) -> tuple[Bilinear, Coder, np.ndarray]:
-    """Parameters, vocabulary and exact class counts from the rows where ``learn_col`` is true."""
-    spark = docs.sparkSession
-    top = _frequent(docs, learn_col, text_col, classes, 1 / (20 * classes))
-    words = [w for w, _ in top]
-    coder = Coder(words)
-    learn = docs.filter(learn_col).select(F.col(text_col).alias("text"))
-    frequency = np.array([0.0] + [float(n) for _, n in top])
-    frequency[0] = max(1.0, 0.5 * frequency.sum())  # a first guess of the rest; its bias is trained
-    model, counts = Bilinear(frequency, dims), np.zeros(len(frequency), np.int64)
-    model.prepare()
-    schema = "weight double, sums binary, counts binary"
-    for epoch in range(epochs if words else 0):
-        shared = spark.sparkContext.broadcast((model, coder))
+    def average(self, sums: np.ndarray, bits: int) -> None:
+        """Replaces the rows in use by the averages that sums of ``fixed_sums`` hold."""
+        at = 0
+        for p in self.PARTS:
+            own = getattr(self, p)
+            total = sums[at : at + own.size].reshape(own.shape)
+            uses = sums[at + own.size : at + own.size + len(own)]
+            at += own.size + len(own)
+            some = uses > 0
+            own[some] = (np.ldexp(total[some].astype(np.float64), -bits) / uses[some][:, None]).astype(np.float32)
+
+    def log10_probability(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Normalised log probabilities of the codes: of listed words, and of rest classes as a whole."""
+        pairs, at = np.unique(one.astype(np.int64) * (self.start + 1) + two, return_inverse=True)
+        norm = np.empty(len(pairs), np.float32)
+        vectors = self.predicted(pairs // (self.start + 1), pairs % (self.start + 1))
+        for a in range(0, len(pairs), 2048):
+            norm[a : a + 2048] = _log_sums(vectors[a : a + 2048], self.output)
+        guess, wanted = vectors[at], self.class_of[target]
+        q = self.output[wanted]
+        score = np.einsum("nd,nd->n", guess, q[:, :-1]) + q[:, -1] - norm[at]
+        inner = np.flatnonzero((target >= self.singles) & (target < self.listed))
+        inner = inner[np.argsort(wanted[inner].astype(np.uint16), kind="stable")]
+        ends = np.searchsorted(wanted[inner], np.arange(len(self.edges)) + self.singles)
+        for g in np.flatnonzero(np.diff(ends)).tolist():
+            own = inner[ends[g] : ends[g + 1]]
+            block = self.word_output[self.edges[g] : self.edges[g + 1]]
+            q = self.word_output[target[own]]
+            score[own] += (guess[own] * q[:, :-1]).sum(1) + q[:, -1]
+            for a in range(0, len(own), 8192):
+                score[own[a : a + 8192]] -= _log_sums(guess[own[a : a + 8192]], block)
+        return score.astype(np.float64) / np.log(10)
+
+
+def _log_sums(guess: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    s = guess @ outputs[:, :-1].T + outputs[:, -1]
+    top = s.max(1, keepdims=True)
+    s -= top
+    return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
+
+
+_CODED = "slice long, place int, id {}, learn boolean, order long, n_tokens long, codes binary, bucket int, words binary, docs binary, times binary"
+
+
+def encode(docs: DataFrame, words: Words, learn_col: str, id_col: str = "doc_id", text_col: str = "text", *, bucket_tokens: int = 4_000_000, slice_bytes: int = 4 << 20) -> DataFrame:
+    """The codes of every row, and packed rows of the words outside the list, as a written table."""
+    buckets = 1 + words.total // bucket_tokens
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    shared = docs.sparkSession.sparkContext.broadcast(words.words)
+    # The order and shard of a document depend on nothing but its id and text.
+    order = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn_col, F.lit(True)).alias("learn"), order.alias("order"), F.monotonically_increasing_id().alias("row"))
+    fields = [pa.field(*x) for x in (("slice", pa.int64()), ("place", pa.int32()), ("id", id_type), ("learn", pa.bool_()), ("order", pa.int64()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, hashes = Coder(shared.value), WordHashes()
+        for piece in slices(batches, "text", slice_bytes, 1 << 12):
+            texts = [words_of(t, lower=True) for t in column(piece, "text").to_pylist()]
+            coded = [coder(t) for t in texts]
+            n, name = len(texts), column(piece, "row")[0].as_py()
+            sizes = np.fromiter(map(len, coded), np.int64, n)
+            yield _filled({"slice": np.full(n, name), "place": np.arange(n, dtype=np.int32), "id": column(piece, "id"), "learn": column(piece, "learn"), "order": column(piece, "order"), "n_tokens": sizes, "codes": pa.array([c.tobytes() for c in coded], pa.binary())}, n, fields)
+            codes = np.concatenate(coded)
+            rest = np.flatnonzero(codes >= coder.n)
+            if not len(rest):
+                continue
+            flat = [w for t in texts for w in (*t, END)]
+            doc = np.repeat(np.arange(n), sizes)[rest]
+            keys = hashes.of([flat[k] for k in rest.tolist()])
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            by = np.lexsort((doc, keys, bucket))
+            keys, doc, bucket = keys[by], doc[by], bucket[by]
+            head = np.flatnonzero(np.r_[True, (np.diff(keys) != 0) | (np.diff(doc) != 0)])
+            times = np.diff(np.r_[head, len(keys)]).astype(np.uint32)
+            keys, doc, bucket = keys[head], doc[head], bucket[head]
+            marks = (doc << 1 | column(piece, "learn").to_numpy(zero_copy_only=False)[doc]).astype(np.uint32)
+            ends = np.flatnonzero(np.r_[np.diff(bucket) != 0, True]) + 1
+            first = np.r_[0, ends[:-1]]
+            packed = {k: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for k, x in (("words", keys), ("docs", marks), ("times", times))}
+            yield _filled({"bucket": bucket[first], "slice": np.full(len(ends), name)} | packed, len(ends), fields)
+
+    return kept(rows.mapInArrow(run, _CODED.format(docs.schema[id_col].dataType.simpleString())))[0]
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of one shard with about ``tokens`` tokens, with their codes and sizes; record batches don't matter."""
+    held: list[pa.RecordBatch] = []
+    size, shard = 0, None
+
+    def ready() -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        parts = [np.frombuffer(x.as_buffer(), np.uint16) for x in table["codes"]]
+        return table, np.concatenate(parts).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    for batch in batches:
+        n, own = column(batch, "n_tokens").to_numpy(), column(batch, "shard").to_numpy()
+        at = 0
+        for k in range(batch.num_rows):
+            if held or k > at:
+                if own[k] != shard or size >= tokens:
+                    if k > at:
+                        held.append(batch.slice(at, k - at))
+                    yield ready()
+                    held, at, size = [], k, 0
+            size, shard = size + int(n[k]), own[k]
+        if batch.num_rows > at:
+            held.append(batch.slice(at))
+    if held:
+        yield ready()
+
+
+def fit(coded: DataFrame, words: Words, *, dims: int = 16, epochs: int = 2, batch: int = 1024, shard_docs: int = 4096, chunk: int = 1 << 16) -> Bilinear:
+    """The model after training on the learning rows of ``encode``'s table."""
+    spark = coded.sparkSession
+    learn = coded.filter("codes is not null and learn")
+    model = Bilinear(words, dims)
+    n_docs = learn.count()
+    shards = max(1, -(-n_docs // shard_docs))
+    bits = 54 - words.total.bit_length()  # sums of uses times values up to 128 fit 62 bits
+    rows = learn.select(F.pmod("order", F.lit(shards)).alias("shard"), "order", "n_tokens", "codes").repartition("shard").sortWithinPartitions("shard", "order", "codes")
+    for epoch in range(epochs if n_docs else 0):
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            first, coder = shared.value
-            own = copy.deepcopy(first)
-            grads = [np.full(getattr(own, p).shape, 1e-6, np.float32) for p in own.PARTS]
-            rng, weight, seen = np.random.default_rng(11 + epoch), 0, np.zeros(len(own.unigram), np.int64)
-            for piece in slices(batches, "text"):
-                _, codes, starts = _coded(piece, coder)
-                one, two = contexts(codes, starts, len(own.unigram))
-                seen += np.bincount(codes, minlength=len(seen))
-                at = targets(np.diff(np.r_[starts, len(codes)]), epoch, epochs)
+            total, now, own, rng = None, None, None, None
+
+            def added(total: list | None) -> list:
+                sums = own.fixed_sums(bits)
+                return sums if total is None else [x + y for x, y in zip(total, sums, strict=True)]
+
+            for table, codes, sizes in _batches_of(batches, chunk):
+                shard = table["shard"][0].as_py()
+                if shard != now:
+                    if own:
+                        total = added(total)
+                    now, own, rng = shard, shared.value.fresh(), np.random.default_rng([11, epoch, shard])
+                one, two = contexts(codes, np.cumsum(sizes) - sizes, own.start)
+                at = targets(sizes, epoch, epochs)
                 rng.shuffle(at)
-                weight += len(at)
                 for a in range(0, len(at), batch):
                     chosen = at[a : a + batch]
-                    own.train(codes[chosen], one[chosen], two[chosen], rng, grads)
-            if seen.any():
-                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([(own.flat().astype(np.float64) * weight).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["weight", "sums", "counts"])
+                    own.train(codes[chosen], one[chosen], two[chosen], rng)
+            if own:
+                total = added(total)
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], ["sums"])
 
-        got = learn.mapInArrow(run, schema).repartition(16).mapInArrow(_added, schema).collect()
-        if got:
-            if not epoch:
-                counts = sum(np.frombuffer(bytes(r["counts"]), np.int64) for r in got)
-            if weight := sum(r["weight"] for r in got):
-                model.load(sum(np.frombuffer(bytes(r["sums"]), np.float64) for r in got) / weight)
-    return model, coder, counts
+        # Adding up in two steps: a task holds two models at a time, the driver sees one.
+        sums = rows.mapInArrow(run, "sums binary").repartition(16).mapInArrow(_added, "sums binary").coalesce(1).mapInArrow(_added, "sums binary").collect()
+        if sums:
+            model.average(np.frombuffer(bytes(sums[0]["sums"]), np.int64), bits)
+        shared.unpersist()
+    return model
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight, sums, counts = 0.0, 0, 0
+    total = None
     for b in batches:
-        for w, s, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            weight, sums, counts = weight + w, sums + np.frombuffer(s, np.float64), counts + np.frombuffer(c, np.int64)
-    if not isinstance(sums, int):
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["weight", "sums", "counts"])
-
+        for x in column(b, "sums"):
+            own = np.frombuffer(x.as_buffer(), np.int64)
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def score(coded: DataFrame, model: Bilinear, words: Words, id_col: str = "doc_id") -> DataFrame:
+    """Id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``encode``'s table."""
+    spark = coded.sparkSession
+    kind = coded.schema["id"].dataType.simpleString()
+    id_type = to_arrow_type(coded.schema["id"].dataType)
+    inside = np.log10(words.rest_n + 0.5 * (words.rest_v + 1))
+    shared = spark.sparkContext.broadcast((model, words.counts, inside))
+    facts = f"id {kind}, n_tokens long, n_known long, model double, logs double"
+    fields = [pa.field(*x) for x in (("slice", pa.int64()), ("place", pa.int32()), ("id", id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("model", pa.float64()), ("logs", pa.float64()), ("docs", pa.binary()), ("times", pa.binary()), ("answers", pa.binary()))]
+    schema = f"slice long, place int, {facts}, docs binary, times binary, answers binary"
+
+    def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts, inside = shared.value
+        logs = np.r_[np.log10(counts + 0.5), np.zeros(RESTS)]
+        known = np.r_[(counts > 0).astype(np.float64), np.zeros(RESTS)]
+        minus = np.r_[np.zeros(len(counts)), inside]
+        for table, codes, sizes in _batches_of(batches, 1 << 18):
+            n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            one, two = contexts(codes, np.cumsum(sizes) - sizes, own.start)
+            found = np.concatenate([own.log10_probability(codes[a : a + (1 << 20)], one[a : a + (1 << 20)], two[a : a + (1 << 20)]) for a in range(0, len(codes), 1 << 20)])
+            made = {"model": np.bincount(doc, found - minus[codes], n), "logs": np.bincount(doc, logs[codes], n), "n_known": np.bincount(doc, known[codes], n).astype(np.int64)}
+            for b in table.select(["slice", "place", "id", "n_tokens"]).combine_chunks().to_batches():
+                yield _filled({c: column(b, c) for c in b.schema.names} | made, n, fields)
 
-def score(docs: DataFrame, model: Bilinear, coder: Coder, counts: np.ndarray, learn: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
-    spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    shared = spark.sparkContext.broadcast((model, coder, counts))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"), F.monotonically_increasing_id().alias("row"))
-    facts = f"id {kind}, n_tokens long, n_known long, n_rest long, model double, logs double"
-    sent = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()), ("place", pa.int64())])
-    fact = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_rest", pa.int64()), ("model", pa.float64()), ("logs", pa.float64())])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, coder, counts), hashes, known = shared.value, WordHashes(), {}
-        listed_logs, listed_known = np.log10(counts + 0.5), (counts > 0).astype(np.int64)
-        listed_logs[0] = listed_known[0] = 0
-        for piece in slices(batches, "text", 2 << 20, 1 << 12):
-            texts, codes, starts = _coded(piece, coder)
-            n = len(texts)
-            sizes = np.array([len(t) + 1 for t in texts])
-            one, two = contexts(codes, starts, len(own.unigram))
-            doc = np.repeat(np.arange(n), sizes)
-            rest = codes == 0
-            name = column(piece, "row")[0].as_py()
-            yield _filled(
-                {
-                    "bucket": ((name + np.arange(n)) % buckets).astype(np.int32), "slice": np.full(n, name), "place": np.arange(n), "id": column(piece, "id"), "n_tokens": sizes,
-                    "n_known": np.bincount(doc, listed_known[codes], n).astype(np.int64), "n_rest": np.bincount(doc[rest], minlength=n),
-                    "model": np.bincount(doc, own.log10_probability(codes, one, two, known), n), "logs": np.bincount(doc, listed_logs[codes], n),
-                },
-                n,
-                [*sent, *fact],
-            )
-            inner = np.ones(len(codes), bool)
-            inner[starts + sizes - 1] = False
-            words = np.zeros(len(codes), np.uint64)  # 0 for the end, which is listed unless nothing is learnt
-            words[inner] = hashes.of([w for t in texts for w in t])
-            words, doc = words[rest], doc[rest]
-            if not len(words):
-                continue
-            order = np.lexsort((doc, words, words % np.uint64(buckets)))
-            words, doc = words[order], doc[order]
-            head = np.flatnonzero(np.r_[True, (np.diff(words) != 0) | (np.diff(doc) != 0)])
-            times = np.diff(np.r_[head, len(words)]).astype(np.uint32)
-            words, doc = words[head], doc[head]
-            learns = column(piece, "learn").to_numpy(zero_copy_only=False)
-            marks = (doc << 1 | learns[doc]).astype(np.uint32)
-            bucket = (words % np.uint64(buckets)).astype(np.int32)
-            ends = np.flatnonzero(np.r_[np.diff(bucket) != 0, True]) + 1
-            first = np.r_[0, ends[:-1]]
-            packed = {k: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for k, x in (("words", words), ("docs", marks), ("times", times))}
-            yield _filled({"bucket": bucket[first], "slice": np.full(len(ends), name)} | packed, len(ends), [*sent, *fact])
-
-    def answer(table: pa.Table) -> pa.Table:
-        packed = table.filter(table["words"].is_valid())
-        passed = table.filter(table["words"].is_null()).drop_columns(["bucket", "words"]).append_column("distinct", pa.nulls(table.num_rows - packed.num_rows, pa.int64()))
-        if not packed.num_rows:
-            return passed
-        marks, words, times = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in packed[c]]) for c, t in (("docs", np.uint32), ("words", np.uint64), ("times", np.uint32)))
-        distinct, code = np.unique(words, return_inverse=True)
+    def replied(table: pa.Table) -> pa.Table:
+        marks, keys, times = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("docs", np.uint32), ("words", np.uint64), ("times", np.uint32)))
+        distinct, code = np.unique(keys, return_inverse=True)
         learns = (marks & 1).astype(bool)
         c = np.bincount(code[learns], times[learns], len(distinct)).astype(np.uint32)
-        sizes = [len(x.as_buffer()) // 4 for x in packed["docs"]]
-        replies = [x.tobytes() for x in np.split(c[code], np.cumsum(sizes)[:-1])]
-        seen = pa.array([int((c > 0).sum())] + [None] * (packed.num_rows - 1), pa.int64())
-        back = packed.set_column(packed.schema.get_field_index("words"), "answers", pa.array(replies, pa.binary())).drop_columns(["bucket"]).append_column("distinct", seen)
-        passed = passed.append_column("answers", pa.nulls(passed.num_rows, pa.binary()))
-        return pa.concat_tables([passed.select(back_names), back.select(back_names)])
-
-    back_names = ["slice", "docs", "times", "answers", "place", *fact.names, "distinct"]
-
-    def replied(table: pa.Table) -> pa.Table:
-        out = answer(table)
-        if "answers" not in out.schema.names:
-            out = out.append_column("answers", pa.nulls(out.num_rows, pa.binary()))
-        return out.select(back_names)
+        ends = np.cumsum([len(x.as_buffer()) // 4 for x in table["docs"]])
+        answers = pa.array([x.tobytes() for x in np.split(c[code], ends[:-1])], pa.binary())
+        return pa.Table.from_batches([_filled({"slice": table["slice"].combine_chunks(), "docs": table["docs"].combine_chunks(), "times": table["times"].combine_chunks(), "answers": answers}, table.num_rows, fields)])
 
     def gather(table: pa.Table) -> pa.Table:
         own = table.filter(table["place"].is_valid()).sort_by("place")
         packed = table.filter(table["answers"].is_valid())
-        n = own.num_rows
-        logs, hit = own["logs"].to_numpy(), own["n_known"].to_numpy()
+        n, logs, hit = own.num_rows, own["logs"].to_numpy(), own["n_known"].to_numpy()
+        rest = np.zeros(n)
         if packed.num_rows:
             marks, times, c = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in packed[name]]) for name in ("docs", "times", "answers"))
             doc = (marks >> 1).astype(np.int64)
+            by = np.lexsort((times, c, doc))  # the sums don't depend on the order of arrival
+            doc, times, c = doc[by], times[by].astype(np.int64), c[by]
             rest = np.bincount(doc, np.log10(c.astype(np.float64) + 0.5) * times, n)
-            hit = hit + np.bincount(doc, (c > 0) * times.astype(np.int64), n).astype(np.int64)
-        else:
-            rest = np.zeros(n)
-        new = pa.compute.sum(table["distinct"]).as_py() or 0
-        out = own.select(["id", "n_tokens", "n_rest", "model"]).append_column("n_known", pa.array(hit)).append_column("listed_logs", pa.array(logs))
-        return out.append_column("rest_logs", pa.array(rest)).append_column("distinct", pa.array([new] + [0] * (n - 1), pa.int64()))
-
-    asked = rows.mapInArrow(send, f"bucket int, slice long, words binary, docs binary, times binary, place long, {facts}")
-    answered = asked.groupBy("bucket").applyInArrow(replied, f"slice long, docs binary, times binary, answers binary, place long, {facts}, distinct long")
-    found, _ = kept(answered.groupBy("slice").applyInArrow(gather, f"id {kind}, n_tokens long, n_rest long, model double, n_known long, listed_logs double, rest_logs double, distinct long"))
-    # Words outside the list share their class by their base counts; one unseen word stands for all others.
-    n, rest_n, rest_v = int(counts.sum()), int(counts[0]), int(found.agg(F.sum("distinct")).first()[0] or 0)
-    v = rest_v + int((counts[1:] > 0).sum())
-    base, inside = float(np.log10(n + 0.5 * (v + 1))), float(np.log10(rest_n + 0.5 * (rest_v + 1)))
+            hit = hit + np.bincount(doc, (c > 0) * times, n).astype(np.int64)
+        out = own.select(["id", "n_tokens"])
+        for name, x in (("n_known", hit), ("base", logs + rest), ("model", own["model"].to_numpy() + rest)):
+            out = out.append_column(name, pa.array(x))
+        return out
+
+    scored = coded.filter("codes is not null").select(F.lit(0).cast("long").alias("shard"), "slice", "place", "id", "n_tokens", "codes").mapInArrow(modelled, schema)
+    asked = coded.filter("words is not null").select("bucket", "slice", "words", "docs", "times")
+    answered = asked.groupBy("bucket").applyInArrow(replied, schema)
+    found = scored.unionByName(answered).groupBy("slice").applyInArrow(gather, f"id {kind}, n_tokens long, n_known long, base double, model double")
+    base = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
     return found.select(
         F.col("id").alias(id_col),
         "n_tokens",
         "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("listed_logs") + F.col("rest_logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("model") + F.col("rest_logs") - F.col("n_rest") * F.lit(inside)).alias("score"),
+        F.lit(words.total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        F.col("model").alias("score"),
     )
 
 
+def learn_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Scores of all rows by a model of the rows where ``learn`` is true."""
+    marked = docs.withColumn("_learn", learn)
+    words = list_words(count_words(marked, "_learn", text_col), **options)
+    coded = encode(marked, words, "_learn", id_col, text_col)
+    return score(coded, fit(coded, words), words, id_col)
+
+
 def _filled(columns: dict, n: int, fields: list[pa.Field]) -> pa.RecordBatch:
     """A record batch of ``fields``; what ``columns`` lacks is null."""
     made = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in fields]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, fields, strict=True)], [f.name for f in fields])
+    return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(made, fields, strict=True)], [f.name for f in fields])

@@ -45,8 +45,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     learn = F.coalesce(fold(F.col("doc_id")) != 1, F.lit(True))
-    model, coder, counts = bilinear_lm.fit(docs.withColumn("_learn", learn), "_learn")
-    scored = bilinear_lm.score(docs, model, coder, counts, learn)
+    scored = bilinear_lm.learn_and_score(docs, learn)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
