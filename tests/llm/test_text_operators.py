@@ -169,7 +169,7 @@ def test_language_without_learning_rows(spark):
 
 def lm_parts(docs, learn, **options):
     marked = docs.withColumn("_learn", learn)
-    listed = bilinear_lm.list_words(bilinear_lm.count_words(marked, "_learn", "text"), **options)
+    listed = bilinear_lm.list_words(bilinear_lm.count_words(marked, "_learn", "text")[0], **options)
     return listed, bilinear_lm.encode(marked, listed, "_learn", bucket_tokens=20_000)
 
 

@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracefold.llm.common import WordHashes, column, kept, slices, words_of
+from tracefold.llm.common import WordHashes, column, discard, kept, one_blas_thread, slices, words_of
 
 END = b"\n"  # no word holds a line end
 RESTS = 64
@@ -71,8 +71,8 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % RESTS
 
 
-def count_words(docs: DataFrame, learn_col: str, text_col: str) -> DataFrame:
-    """word, n: all words of the rows where ``learn_col`` is true, the end of each text among them."""
+def count_words(docs: DataFrame, learn_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """word, n (a written table and its path): all words of the rows where ``learn_col`` is true, the end of each text among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
@@ -91,7 +91,7 @@ def count_words(docs: DataFrame, learn_col: str, text_col: str) -> DataFrame:
             yield packed()
 
     parts = docs.filter(learn_col).select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
-    return kept(parts.groupBy("word").agg(F.sum("n").alias("n")))[0]
+    return kept(parts.groupBy("word").agg(F.sum("n").alias("n")))
 
 
 @dataclass
@@ -399,6 +399,7 @@ def fit(coded: DataFrame, words: Words, *, dims: int = 16, epochs: int = 2, batc
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+            one_blas_thread()
             total, now, own, rng = None, None, None, None
 
             def added(total: list | None) -> list:
@@ -421,8 +422,8 @@ def fit(coded: DataFrame, words: Words, *, dims: int = 16, epochs: int = 2, batc
                 total = added(total)
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], ["sums"])
 
-        # Adding up in two steps: a task holds two models at a time, the driver sees one.
-        sums = rows.mapInArrow(run, "sums binary").repartition(16).mapInArrow(_added, "sums binary").coalesce(1).mapInArrow(_added, "sums binary").collect()
+        # Added up in two steps: a task holds two models at a time, the driver sees one.
+        sums = rows.mapInArrow(run, "sums binary").repartition(16).mapInArrow(_added, "sums binary").repartition(1).mapInArrow(_added, "sums binary").collect()
         if sums:
             model.average(np.frombuffer(bytes(sums[0]["sums"]), np.int64), bits)
         shared.unpersist()
@@ -451,6 +452,7 @@ def score(coded: DataFrame, model: Bilinear, words: Words, id_col: str = "doc_id
     schema = f"slice long, place int, {facts}, docs binary, times binary, answers binary"
 
     def modelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         own, counts, inside = shared.value
         logs = np.r_[np.log10(counts + 0.5), np.zeros(RESTS)]
         known = np.r_[(counts > 0).astype(np.float64), np.zeros(RESTS)]
@@ -507,7 +509,9 @@ def score(coded: DataFrame, model: Bilinear, words: Words, id_col: str = "doc_id
 def learn_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Scores of all rows by a model of the rows where ``learn`` is true."""
     marked = docs.withColumn("_learn", learn)
-    words = list_words(count_words(marked, "_learn", text_col), **options)
+    counted, path = count_words(marked, "_learn", text_col)
+    words = list_words(counted, **options)
+    discard(docs.sparkSession, path)
     coded = encode(marked, words, "_learn", id_col, text_col)
     return score(coded, fit(coded, words), words, id_col)
 

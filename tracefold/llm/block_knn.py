@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import column
+from tracefold.llm.common import column, one_blas_thread
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -124,6 +124,7 @@ class Heaps:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    one_blas_thread()
     heaps = Heaps(k)
     for batch in batches:
         for n in range(batch.num_rows):

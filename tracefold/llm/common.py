@@ -74,6 +74,18 @@ def fold_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5
 
 
+def one_blas_thread() -> None:
+    """Lets numpy's matrix products use one thread, as a task has one core; several would only spin on small matrices."""
+    import ctypes
+    import pathlib
+
+    for lib in (pathlib.Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if (limit := getattr(ctypes.CDLL(str(lib)), name, None)) is not None:
+                limit(1)
+                break
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import column, slices
+from tracefold.llm.common import column, one_blas_thread, slices
 
 DIMS = 4096
 _SHIFT = np.uint64(64 - 12)
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text
     schema = ", ".join(f"_in{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(cols)) + ", _lang string, _score double, _rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in slices(batches, text_col, 1 << 19, 512):
             lang, score, rejected = shared.value.predict(column(batch, text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in cols] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [f"_in{k}" for k in range(len(cols))] + ["_lang", "_score", "_rejected"])
