@@ -10,16 +10,21 @@ exact only if no piece of the vocabulary spans such a cut; ``Vocabulary``
 checks that and otherwise takes the whole text as one unit.
 
 A round that merged several occurrences and thereby made a pair of a better
-rank could differ from the library, which merges one pair at a time; such
-units are redone one merge a round, and so are ranks shared by several pieces.
+rank could differ from the library, which merges one pair at a time.  So could
+two adjacent merges, where the first makes a better pair with the symbol that the
+second takes away.  Such units are redone one merge at a time, from a heap of
+pairs, in a time of n log n.  Of a rank shared by several pieces, a round merges
+the leftmost occurrence alone.
 
 Defined results: a null or empty text has the end id alone and decodes to the
-empty text.  Repeated rows each get their result; other columns are untouched.
+empty text.  Repeated rows each get their result; other columns are left out; an
+empty table gives an empty result; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -116,7 +121,7 @@ class Vocabulary:
         return out
 
 
-def merge_rounds(vocab: Vocabulary, units: list[str], one_by_one: bool = False) -> list[np.ndarray]:
+def merge_rounds(vocab: Vocabulary, units: list[str]) -> list[np.ndarray]:
     """The ids of each unit (spaces stand for the piece that marks them)."""
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -150,8 +155,11 @@ def merge_rounds(vocab: Vocabulary, units: list[str], one_by_one: bool = False)
         first = at[run][np.cumsum(run) - 1]
         at = at[(at - first) % 2 == 0]
         lead = np.r_[True, unit[at[1:]] != unit[at[:-1]]]
-        single = lead if one_by_one else lead | ~vocab.shared[rank[at]]
-        at = at[single]
+        at = at[lead | ~vocab.shared[rank[at]]]
+        near = at[:-1][(np.diff(at) == 2) & (unit[at[1:]] == unit[at[:-1]])]
+        if len(near):
+            passing = vocab.merged_pairs(made[near], sym[near + 2])
+            redo[unit[near[(passing >= 0) & (vocab.rank_of[passing] < rank[near])]]] = True
         several[of] = np.bincount(unit[at], minlength=len(units))[of] > 1
         sym = sym.copy()
         sym[at] = made[at]
@@ -170,13 +178,44 @@ def merge_rounds(vocab: Vocabulary, units: list[str], one_by_one: bool = False)
             got = sym[at:end]
             out[k] = _with_bytes(vocab, got) if has_odd[k] else got
             at = end
-    if redo.any() and not one_by_one:
-        again = np.flatnonzero(redo).tolist()
-        for k, ids in zip(again, merge_rounds(vocab, [units[k] for k in again], True), strict=True):
-            out[k] = ids
+    for k in np.flatnonzero(redo).tolist():
+        out[k] = _with_bytes(vocab, np.array(merge_singly(vocab, units[k]), np.int64))
     return [x if x is not None else np.empty(0, np.int32) for x in out]
 
 
+def merge_singly(vocab: Vocabulary, unit: str) -> list[int]:
+    """The symbols of a unit after merging the leftmost pair of the best rank, again and again."""
+    points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sym = vocab.start[np.where(points == 32, 0x2581, points)].tolist()
+    after, before = list(range(1, len(sym))) + [-1], list(range(-1, len(sym) - 1))
+    heap: list[tuple[int, int, int, int, int]] = []
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def offer(places: list[int]) -> None:
+        pairs = [(sym[k], sym[after[k]]) for k in places]
+        new = list({p for p in pairs if p not in known})
+        if new:
+            left, right = (np.array(x, np.int32) for x in zip(*new, strict=True))
+            made = vocab.merged_pairs(left, right)
+            known.update(zip(new, zip(made.tolist(), vocab.rank_of[made].tolist(), strict=True), strict=True))
+        for k, (a, b) in zip(places, pairs, strict=True):
+            made, rank = known[a, b]
+            if made >= 0:
+                heapq.heappush(heap, (rank, k, a, b, made))
+
+    offer(list(range(len(sym) - 1)))
+    while heap:
+        _, k, a, b, made = heapq.heappop(heap)
+        if sym[k] != a or after[k] < 0 or sym[after[k]] != b:
+            continue  # one of the two has been merged since
+        gone = after[k]
+        sym[k], sym[gone], after[k] = made, -1, after[gone]
+        if after[k] >= 0:
+            before[after[k]] = k
+        offer([x for x in ((before[k], k) if after[k] >= 0 else (before[k],)) if x >= 0])
+    return [s for s in sym if s >= 0]
+
+
 def _with_bytes(vocab: Vocabulary, sym: np.ndarray) -> np.ndarray:
     ids: list[int] = []
     for s in sym.tolist():
