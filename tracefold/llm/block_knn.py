@@ -15,13 +15,17 @@ rows of a few hundred kilobytes and no pairs of vectors.
 
 Vectors that are null, zero, or hold a null or non-finite component take no
 part.  Ties go to the smaller id; a row never meets itself, but other rows
-with the same id and vector are candidates like any other.
+with the same id and vector are candidates like any other.  Distances whose
+squares overflow are infinite, and tie.  Null ids take no part; extra columns
+are ignored; an empty table gives an empty result; a vector of any length is
+compared with those of its length.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +67,19 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def tile(queries: np.ndarray, vectors: np.ndarray, k: int, kth: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile(queries: np.ndarray, vectors: np.ndarray, k: int, kth: np.ndarray, same: np.ndarray | None, coded: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, vector, distance) of a tile that can be among the ``k`` nearest.
 
     ``kth`` holds an upper bound of each query's k-th distance from other tiles;
-    ``same`` marks pairs of a row with itself.
+    ``same`` marks pairs of a row with itself, ``coded`` is ``quantise(vectors)``.
+    Bounds that overflow exclude nothing.
     """
-    (qa, qs, qe), (va, vs, ve) = quantise(queries), quantise(vectors)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(queries, vectors, k, kth, same, coded or quantise(vectors))
+
+
+def _tile(queries: np.ndarray, vectors: np.ndarray, k: int, kth: np.ndarray, same: np.ndarray | None, coded: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (qa, qs, qe), (va, vs, ve) = quantise(queries), coded
     kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64
     product = (qa.astype(kind) @ va.astype(kind).T).astype(np.float64)
     qn, vn = (np.square(a.astype(np.float64)).sum(1) * s * s for a, s in ((qa, qs), (va, vs)))
@@ -81,7 +91,7 @@ def tile(queries: np.ndarray, vectors: np.ndarray, k: int, kth: np.ndarray, same
         about[same] = np.inf
     if high.shape[1] > k:
         kth = np.minimum(kth, np.partition(high, k - 1, axis=1)[:, k - 1])
-    q, v = np.nonzero(about - slack <= kth[:, None])
+    q, v = np.nonzero(~(about - slack > kth[:, None]))  # not a number: kept
     if same is not None:
         own = same[q, v]
         q, v = q[~own], v[~own]
@@ -123,7 +133,7 @@ class Heaps:
                 yield qrow, qid, -vid, -row, -d
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], k: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     one_blas_thread()
     heaps = Heaps(k)
     for batch in batches:
@@ -132,25 +142,29 @@ def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             qids, vids = (np.frombuffer(x, np.int64).reshape(-1, 2) for x in (qids, vids))
             qvec, vvec = (np.frombuffer(x, np.float64).reshape(-1, dim) for x in (qvec, vvec))
             keys = [(int(a), int(b)) for a, b in qids]
+            with np.errstate(over="ignore", invalid="ignore"):
+                coded = quantise(vvec)
             for at in range(0, len(qids), 512):  # a tile of 512 rows at a time bounds the memory
                 part = slice(at, at + 512)
                 same = qids[part, 0][:, None] == vids[None, :, 0]
                 kth = np.array([heaps.bound(key) for key in keys[part]])
-                q, v, dist = tile(qvec[part], vvec, k, kth, same if same.any() else None)
+                q, v, dist = tile(qvec[part], vvec, k, kth, same if same.any() else None, coded)
                 order = np.lexsort((vids[v, 0], vids[v, 1], dist, q))
                 q, v, dist = q[order], v[order], dist[order]
                 head = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
                 rank = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
                 for i in np.flatnonzero(rank < k).tolist():
                     heaps.add(keys[at + int(q[i])], float(dist[i]), int(vids[v[i], 1]), int(vids[v[i], 0]))
+            if len(heaps.best) > most:  # what is found so far goes on, and bounds begin anew
+                yield from _heap_rows(heaps)
+                heaps = Heaps(k)
     yield from _heap_rows(heaps)
 
 
 def _heap_rows(heaps: Heaps) -> Iterator[pa.RecordBatch]:
-    rows = list(heaps.rows())
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = [pa.int64()] * 4 + [pa.float64()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["query_row", "query_id", "vec_id", "vec_row", "score"])
+    rows, kinds = heaps.rows(), [pa.int64()] * 4 + [pa.float64()]
+    while some := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], ["query_row", "query_id", "vec_id", "vec_row", "score"])
 
 
 _FOUND = "query_row long, query_id long, vec_id long, vec_row long, score double"
@@ -169,19 +183,26 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     schema = "dim int, ids binary, vectors binary"
     usable = rows.filter(F.col("vid").isNotNull())
     blocks = usable.select("row", "vid", "vec").mapInArrow(pack, schema).withColumn("_cell", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    asked = usable.filter("_q").select("row", "vid", "vec").coalesce(max(1, groups // 8)).mapInArrow(pack, schema)
+    asked = usable.filter("_q").select("row", "vid", "vec").repartition(max(1, groups // 8)).mapInArrow(pack, schema)
     asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_cell"))
     found = blocks.join(asked, ["_cell", "dim"]).select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(lambda b: _tiles(b, k), _FOUND)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps = Heaps(k)
-        for b in batches:
-            for qrow, qid, vid, vrow, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                heaps.add((qrow, qid), d, vid, vrow)
-        rows = []
-        for (_, qid), heap in heaps.best.items():
-            rows += [(qid, r, -vid, -d) for r, (d, vid, _) in enumerate(sorted(heap, reverse=True), 1)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["query_id", "rank", "vec_id", "score"])
+        rows: list[tuple] = []
 
-    return found.repartition("query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["query_id", "rank", "vec_id", "score"])
+
+        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (qrow, qid), own in groupby(every, key=lambda r: r[:2]):
+            heaps = Heaps(k)
+            for _, _, vid, vrow, d in own:
+                heaps.add((qrow, qid), d, vid, vrow)
+            rows += [(qid, r, -vid, -d) for r, (d, vid, _) in enumerate(sorted(heaps.best[qrow, qid], reverse=True), 1)]
+            if len(rows) > 10_000:
+                yield packed()
+                rows = []
+        if rows:
+            yield packed()
+
+    return found.repartition("query_row").sortWithinPartitions("query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
