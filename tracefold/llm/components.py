@@ -1,14 +1,13 @@
 """Connected components of a table of links.
 
-Up to ``few`` links (a bound on one task's memory, whatever the input) go
-through one union-find; more are contracted by alternating stars.  Both give
-the same table.
-
-Star contraction: each round replaces links so that all larger neighbours of a vertex point at
-its smallest one, then all its smaller ones.  Minima are aggregated with
-partial sums, and a vertex with very many links only makes a skewed equi-join,
-which adaptive execution splits.  Rounds are cut by a table in the shared
-folder and stop when a round changes nothing.
+Each round contracts links in two ways: tasks run a union-find over pieces of
+their links, of a fixed number, and alternating stars point all larger
+neighbours of a vertex at its smallest one, then all its smaller ones.  Minima
+are aggregated with partial sums, and a vertex with very many links only makes
+a skewed equi-join, which adaptive execution splits.  Rounds are cut by a table
+in the shared folder and stop when every vertex has one link, to a vertex that
+has none.  Tables of all sizes go the same way; small ones settle in the first
+task.
 """
 
 from __future__ import annotations
@@ -36,10 +35,7 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edges = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
-    if not edges:
-        return
+def _union_find(edges: list[np.ndarray]) -> pa.RecordBatch:
     names, at = np.unique(np.concatenate(edges, 1), return_inverse=True)
     a, b = at.reshape(2, -1)
     root = np.arange(len(names))
@@ -50,25 +46,46 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(root, high, low)
         while (root[root] != root).any():
             root = root[root]
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], ["vertex", "component"])
+    far = names != names[root]
+    return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root][far])], ["a", "b"])
 
 
-def components(edges: DataFrame, few: int = 500_000, most_rounds: int = 60) -> DataFrame:
+def _contracted(edges: DataFrame, piece: int = 500_000) -> DataFrame:
+    """Links from each vertex to the smallest one found within a piece of a task's links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+                n += b.num_rows
+            if n >= piece:
+                yield _union_find(held)
+                held, n = [], 0
+        if held:
+            yield _union_find(held)
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one link at most, and those linked to have none."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by.filter((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).isEmpty()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, piece: int = 500_000) -> DataFrame:
     """``vertex`` and ``component`` (its smallest vertex) of each vertex with a link.
 
-    ``edges`` has long columns ``a`` and ``b``; self links are ignored.
+    ``edges`` has long columns ``a`` and ``b``; self links are ignored, an empty table gives an empty result.
     """
     spark = edges.sparkSession
-    state, path = kept(edges.filter("a <> b").distinct())
-    seen = None
-    if state.count() <= few:
-        return state.select("a", "b").coalesce(1).mapInArrow(_union_find, "vertex long, component long")
+    state, path = kept(_contracted(edges.filter("a <> b").select("a", "b").distinct(), piece))
     for _ in range(most_rounds):
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        if _settled(state):
             break
-        seen = mark
-        new, new_path = kept(_small(_large(state)))
+        new, new_path = kept(_contracted(_small(_large(state)), piece))
         discard(spark, path)
         state, path = new, new_path
     else:

@@ -30,7 +30,9 @@ documents at similarity 0.8 miss each other in all bands with probability
 
 Defined results: null and empty texts have an empty set and are linked with
 nothing; rows of a null id are linked with nothing and kept; repeated rows are
-one document; ties go to the smaller id; extra columns are ignored.
+one document; ties go to the smaller id; extra columns are ignored; an empty
+table gives an empty result; texts of any length are sketched whole, a text being
+the least that a task handles at once.
 """
 
 from __future__ import annotations
@@ -98,7 +100,9 @@ def likely(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n1: np.nd
     """The similarity of greatest joint likelihood, and whether ``limit`` can be reached.
 
     A pair is given up if ``limit`` is less likely by more than ``odds`` (natural
-    log) than the best value below it, or if the sizes rule the limit out.
+    log) than the best value below it, or if the sizes rule the limit out.  Twice
+    the gap of a pair at the limit has about a chi-square distribution of one
+    degree, so such a pair is given up with a probability of some 6e-8 at ``odds`` 14.
     """
     u, v = n1 / (n1 + n2), n2 / (n1 + n2)
     most = np.minimum(u / v, v / u)
@@ -123,8 +127,8 @@ def _compare(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, limit
     return likely((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), na.astype(float), nb.astype(float), limit)
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int, registers: int) -> DataFrame:
-    """_id, n_shingles, print (of the set; null if empty) and sketch of each row."""
+def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int, registers: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """_id, n_shingles, print (of the set; null if empty) and sketch of each row, and the columns of ``carry`` as _c0, _c1..."""
     import xxhash
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -141,9 +145,10 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, words: int, re
                 for row, k in zip(rows, some.tolist(), strict=True):
                     own = np.unique(flat[ends[k] - counts[k] : ends[k]])
                     sizes[k], prints[k], sketches[k] = len(own), xxhash.xxh3_128_digest(own.tobytes()), row.tobytes()
-            yield pa.RecordBatch.from_arrays([column(batch, id_col), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["_id", "n_shingles", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([column(batch, id_col), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), *(column(batch, c) for c in carry)], ["_id", "n_shingles", "print", "sketch", *(f"_c{k}" for k in range(len(carry)))])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, n_shingles long, print binary, sketch binary")
+    more = "".join(f", _c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    return docs.select(*dict.fromkeys([id_col, text_col, *carry])).mapInArrow(run, f"_id {kind}, n_shingles long, print binary, sketch binary{more}")
 
 
 def _band_keys(nodes: DataFrame, bands: int, width: int) -> DataFrame:
@@ -329,10 +334,14 @@ def _best(estimated: DataFrame) -> DataFrame:
     return estimated.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, bands: int = 40, width: int = 6, rounds: int = 2) -> DataFrame:
-    """The id column, ``n_shingles``, ``component_id`` (smallest id linked, over any chain) and ``kept``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: tuple[str, ...] = (), words: int = 5, percent: int = 80, bands: int = 40, width: int = 6, rounds: int = 2) -> DataFrame:
+    """The id column, ``n_shingles``, ``component_id`` (smallest id linked, over any chain) and ``kept``.
+
+    With ``carry``, also those columns and ``group``, a number of the component that rows of one id but
+    unlinked texts don't share (null for empty sets and null ids).
+    """
     limit = percent / 100
-    rows, _ = kept(sketch_documents(docs, id_col, text_col, words, bands * width))
+    rows, _ = kept(sketch_documents(docs, id_col, text_col, words, bands * width, carry))
     known = rows.filter(F.col("_id").isNotNull() & F.col("print").isNotNull())
     classes = known.groupBy("print").agg(F.min("_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes, _ = kept(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -371,7 +380,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links.unionByName(_across(mixed, nodes, sets, bands, limit, percent)))
     named = nodes.select("node", "print", "min_id").join(final.withColumnRenamed("vertex", "node"), "node", "left").select("print", "min_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    labels = named.join(smallest, "component").select("print", "component_id")
-    out = rows.select("_id", "n_shingles", "print").join(labels, "print", "left")
+    labels = named.join(smallest, "component").select("print", "component_id", "component")
+    out = rows.select("_id", "n_shingles", "print", *(f"_c{k}" for k in range(len(carry)))).join(labels, "print", "left")
     component = F.when(F.col("_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    more = [F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)] + [F.when(F.col("_id").isNotNull(), F.col("component")).alias("group")] * bool(carry)
+    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"), *more)
