@@ -110,7 +110,7 @@ def quality_verdicts(
     text_col: str = "text",
     host_col: str = "source",
     *,
-    min_docs: int = 20,
+    min_docs: float = 20,
     share: float = 0.002,
     min_left: float = 0.3,
     carry: tuple[str, ...] = (),

@@ -16,6 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+#: Limits at which small tables lose documents as well.
+STRICT = {"min_docs": 1.0, "share": 0.0, "min_left": 0.9}
+
+
+def quality_rules_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules at limits where depletion decides on small tables too."""
+    return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"), **STRICT)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +78,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "quality_rules_strict": quality_rules_strict,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
         "op4_nearest_neighbours": op4_nearest_neighbours,
@@ -82,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _QUALITY_SQL, "op10_near_duplicates": _NEAR_SQL, "op3_sharding": _SHARDING_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op7_preference_format": _PREFERENCE_SQL}
+    return {"op1_quality_rules": _quality_sql(), "quality_rules_strict": _quality_sql(**STRICT), "op10_near_duplicates": _NEAR_SQL, "op3_sharding": _SHARDING_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op7_preference_format": _PREFERENCE_SQL}
 
 
 _SHARDING_SQL = f"""
@@ -130,7 +140,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_QUALITY_SQL = rf"""
+def _quality_sql(min_docs: float = 20.0, share: float = 0.002, min_left: float = 0.3) -> str:
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 lines AS (SELECT row_, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
@@ -141,9 +152,9 @@ places AS (SELECT row_, p, {" || ' ' || ".join(["word"] + [f"lead(word, {k}) OVE
 windows AS (SELECT row_, p, count(*) OVER (PARTITION BY row_, shingle) AS times FROM places WHERE shingle IS NOT NULL),
 inside AS (SELECT DISTINCT row_, unnest(range(p, p + 8)) AS q FROM windows WHERE times > 1),
 repeats AS (SELECT row_, count(*) AS n_repeat_words FROM inside GROUP BY 1),
-keyed AS (SELECT row_, host, t, {_ASCII_LOWER.format("array_to_string(lw, ' ')")} AS line_key, len(lw) AS n FROM worded WHERE len(lw) <= 30),
+keyed AS (SELECT row_, host, t, {_ASCII_LOWER.format("array_to_string(lw, ' ')")} AS line_key, len(lw) AS n FROM worded),
 hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY 1),
-frequent AS (SELECT host, line_key FROM (SELECT host, line_key, count(DISTINCT t) AS n FROM keyed GROUP BY 1, 2) JOIN hosts USING (host) WHERE n > greatest(20.0, docs * 0.002)),
+frequent AS (SELECT host, line_key FROM (SELECT host, line_key, count(DISTINCT t) AS n FROM keyed GROUP BY 1, 2) JOIN hosts USING (host) WHERE n > greatest({min_docs}, docs * {share})),
 gone AS (SELECT row_, sum(n) AS n_gone FROM keyed JOIN frequent USING (host, line_key) GROUP BY 1),
 base AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
@@ -151,7 +162,7 @@ base AS (
   FROM w LEFT JOIN dups USING (row_) LEFT JOIN repeats USING (row_) LEFT JOIN gone USING (row_)
 ),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, NOT base_failed AND words_left >= 0.3 * n_words AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, NOT base_failed AND words_left >= {min_left} * n_words AS kept FROM judged
 """
 
 _NEAR_SQL = rf"""
