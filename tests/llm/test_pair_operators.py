@@ -60,6 +60,7 @@ def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(k), [float(x) for x in rng.standard_normal(8)]) for k in range(400)]
     rows += [(400 + k, [1.0] * 8) for k in range(60)] + [(500, [1.0] * 8), (500, [1.0] * 8)]
+    rows += [(800 + k, [1e155 * (k + 1)] * 8) for k in range(3)] + [(850, [-1e200] * 8)]
     rows += [(600, None), (601, []), (602, [0.0] * 8), (603, [float("nan")] + [1.0] * 7), (604, [None] * 8), (605, [float("inf")] * 8), (None, [1.0] * 8), (700, [1.0, 2.0]), (701, [1.0, 3.0])]
     frame = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<double>, ids string, row int")
     for block, groups in ((2048, 1), (16, 3)):
@@ -211,7 +212,7 @@ def test_components_both_ways(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
     frame = spark.createDataFrame(edges, "a long, b long")
-    small, large = (dict(map(tuple, components(frame, few=n).collect())) for n in (10**6, 0))
+    small, large = (dict(map(tuple, components(frame.repartition(9), piece=n).collect())) for n in (10**6, 3))
     root = {}
 
     def find(x):
@@ -258,6 +259,23 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_pipeline_drops_rows_not_ids(spark):
+    rng = random.Random(11)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    rows = [(1, text[0], "en", "a"), (5, text[0] + " more", "en", "a"), (5, text[1], "en", "a"), (6, text[2], "en", "b"), (6, text[2], "en", "b"), (6, text[2].upper(), "en", "b"), (7, text[3], "en", "b"), (7, text[4], "en", "b"), (8, "", "en", "b"), (8, None, "en", "b"), (None, text[0], "en", "b")]
+    docs = table(spark, rows)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in left.collect())
+    assert got == Counter([(1, text[0]), (5, text[1]), (6, text[2]), (7, text[3]), (7, text[4]), (8, ""), (8, ""), (None, text[0])]) and left.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_strict_quality_rules_deplete(spark, sf):
+    got = Q.quality_rules_strict(spark, sf).toPandas()
+    assert (got.kept < ~got.base_failed).any()
+
+
 def test_queries_have_the_contract_columns(spark, sf):
     want = {
         "op1_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],

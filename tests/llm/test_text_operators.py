@@ -132,8 +132,21 @@ def test_serial_merges_agree():
 
     vocab = sp.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     units = [" intentionally", "aaaaaaaaaa", "    x", " abababab", "======", " Übergröße"]
-    a, b = sp.merge_rounds(vocab, units), sp.merge_rounds(vocab, units, one_by_one=True)
-    assert [x.tolist() for x in a] == [x.tolist() for x in b]
+    rng = random.Random(7)
+    units += ["".join(rng.choice("abehlnorst=-.") for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    units += ["".join(rng.choice(["ab", "=", "--", "er", "an", "the"]) * rng.randrange(1, 9) for _ in range(4)) for _ in range(400)]
+    a, b = sp.merge_rounds(vocab, units), [sp.merge_singly(vocab, u) for u in units]
+    assert [x.tolist() for x in a] == b
+
+
+def test_long_text_without_spaces():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(8)
+    text = "".join(rng.choice("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000))
+    assert sp.Codec(path).encode([text])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
 
 
 def test_language_held_out_accuracy_and_rejection(spark):
