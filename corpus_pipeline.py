@@ -8,6 +8,12 @@ Every stage but the last returns the columns of ``documents``:
 3. near-duplicate detection keeps the smallest id of each group (five words,
    similarity 0.8);
 4. best-fit packing deals the documents left, or pieces of long ones, to bins.
+
+Defined results: null and empty texts go in the first stage; rows of a null id
+are kept by near-duplicate detection; repeated rows leave one, rows of one id and
+different texts are told apart; columns beyond those of ``documents`` pass
+through, whatever their names, if they don't begin with ``_p_``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +43,20 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    dropped = setsketch_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates.
+
+    Rows are told apart by id and text: of rows with one id, each goes or stays by its own text, and equal rows leave one.
+    """
+    marked = docs.withColumn("_p_text", F.xxhash64("text"))
+    key, row = ["doc_id", "_p_text"], F.struct("doc_id", "_p_text")
+    found = cut(setsketch_dedup.near_duplicates(marked, carry=("_p_text",)).select(*key, "kept", "group"))
+    stays = found.filter("kept and group is not null")
+    several = stays.groupBy("group").agg(F.count("*").alias("_p_n"), F.min(row).alias("_p_first")).filter("_p_n > 1")
+    again = stays.join(several, "group")  # groups whose smallest id has several rows
+    gone = found.filter("not kept").select(*key).unionByName(again.select(*key)).distinct()
+    left = marked.join(gone, key, "left_anti")
+    first = again.filter(row == F.col("_p_first")).select(*key).distinct()
+    return left.unionByName(marked.join(first, key, "left_semi").dropDuplicates(key)).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
