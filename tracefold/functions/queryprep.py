@@ -67,9 +67,10 @@ def category(query: Column) -> Column:
 
 
 def expand_contractions(query: Column) -> Column:
+    spelt = query
     for short, long in CONTRACTIONS.items():
-        query = F.regexp_replace(query, rf"(?iU)\b{short}\b", long)
-    return query
+        spelt = F.regexp_replace(spelt, rf"(?iU)\b{short}\b", long)
+    return F.when(query.contains("'"), spelt).otherwise(query)  # every one has an apostrophe
 
 
 def expand_keywords(query: Column) -> Column:
@@ -84,6 +85,7 @@ def strip_statement_boilerplate(text: Column) -> Column:
     A fold over paragraphs: marked ones go, numeric ones go once a marked one
     was seen, and after that the second paragraph kept is the last.
     """
+    # Fixed value: paragraphs of nothing but numbers.
     numeric = r"^[\d\s,\[\]\(\)\{\}\.\-\+\*\/\n]+\z"
     state = F.aggregate(
         F.split(strip(text), r"\n{2,}"),
@@ -115,22 +117,28 @@ def search_terms(query: Column) -> Column:
     return F.when(joined != "", joined).otherwise(strip(query))
 
 
-def clean(query: Column, kind: Column, expand: bool = False) -> Column:
-    """The query as the retrievers get it; ``kind`` is its ``category``."""
-    text = expand_contractions(strip(query))
-    text = F.when(kind == "problem_stmt", strip_statement_boilerplate(text)).otherwise(text)
-    wordy = kind.isin("where_is", "how_it_works", "general") & (text.contains("`") | text.rlike("(?iU)" + FILLER))
-    text = F.when(wordy, search_terms(text)).otherwise(text)
-    text = F.regexp_replace(text, r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]", " ")
-    text = strip(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), r"\n{3,}", "\n\n"))
-    return expand_keywords(text) if expand else text
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with further columns that Catalyst doesn't copy into the expressions that use them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def clean_queries(queries: DataFrame, text_col: str = "text", expand: bool = False) -> DataFrame:
-    """``queries`` with query_type, cleaned and was_cleaned."""
-    typed = queries.withColumn("query_type", category(F.col(text_col)))
-    cleaned = typed.withColumn("cleaned", clean(F.col(text_col), F.col("query_type"), expand))
-    return cleaned.withColumn("was_cleaned", F.col("cleaned") != strip(F.col(text_col)))
+    """``queries`` with query_type, cleaned (what the retrievers get) and was_cleaned.
+
+    Each step reads the columns of the one before, so every pattern runs once a row at most.
+    """
+    rows = _once(queries, _q=strip(F.col(text_col)))
+    rows = _once(rows, query_type=category(F.col("_q")), _spelt=expand_contractions(F.col("_q")))
+    kind = F.col("query_type")
+    rows = _once(rows, _task=F.when(kind == "problem_stmt", strip_statement_boilerplate(F.col("_spelt"))).otherwise(F.col("_spelt")))
+    task = F.col("_task")
+    rows = _once(rows, _wordy=kind.isin("where_is", "how_it_works", "general") & (task.contains("`") | task.rlike("(?iU)" + FILLER)))
+    rows = _once(rows, _text=F.when(F.col("_wordy"), search_terms(task)).otherwise(task))
+    # The characters that stay.
+    text = F.regexp_replace("_text", r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]", " ")
+    rows = _once(rows, _clean=strip(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), r"\n{3,}", "\n\n")))
+    rows = rows.withColumn("cleaned", expand_keywords(F.col("_clean")) if expand else F.col("_clean")).withColumn("was_cleaned", F.col("cleaned") != F.col("_q"))
+    return rows.drop("_q", "_spelt", "_task", "_wordy", "_text", "_clean")
 
 
 def matched_terms(query: Column, content: Column, stop: tuple[str, ...] = STOP, most: int = 5) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.text import tokenise
+from tracefold.sources.scratch import written
 
 K1, B = 1.5, 0.75
 
@@ -26,25 +27,40 @@ def indexed_text(symbol: Column, docstring: Column, code: Column, path: Column |
     return F.concat_ws("\n", *[c for c in (path, symbol, docstring, code) if c is not None])
 
 
-def build(docs: DataFrame, id_col: str, text: Column, only: DataFrame | None = None) -> Index:
-    """The index of ``docs``, for a single batch of queries only over the terms of ``only``.
+def _tokens(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id, tokens and dl; the generator keeps Catalyst from copying the tokeniser into every use."""
+    return docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(tokenise(text).alias("tokens"))))).withColumn("dl", F.size("tokens"))
+
+
+def build(docs: DataFrame, id_col: str, text: Column) -> Index:
+    """The index of ``docs``.
 
-    Statistics of the terms kept are those of the full index.
     Length comes from the token array of each document, so counting terms is
     the only exchange; term_df and stats aggregate partially before theirs.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), tokenise(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    found = tokens.select("id", "dl", F.explode("tokens").alias("term"))
-    if only is not None:
-        found = found.join(only.select("term").distinct(), "term", "left_semi")
-    postings = found.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tokens = _tokens(docs, id_col, text)
+    postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf"))
+    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def build_for(docs: DataFrame, id_col: str, text: Column, terms: DataFrame) -> Index:
+    """The part of the index that ``terms`` (term) need, from one pass over the documents.
+
+    Each document also gives one row of the empty term, which no query has, so
+    that the written table holds the length of every document; statistics are
+    those of the full index.
+    """
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    found = _tokens(docs, id_col, text).select("id", "dl", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")).join(wanted, "term", "left_semi")
+    counted = written(found.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf")))
+    postings = counted.filter("term <> ''")
+    stats = counted.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
 def search_once(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, k: int = 100, text_col: str = "text") -> DataFrame:
     """``search`` over documents that have no stored index: only terms of the queries are counted."""
-    return search(build(docs, id_col, text, query_terms(queries, text_col)), queries, k, text_col)
+    return search(build_for(docs, id_col, text, query_terms(queries, text_col)), queries, k, text_col)
 
 
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:

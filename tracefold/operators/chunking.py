@@ -57,13 +57,14 @@ def line_windows(files: DataFrame, size: int = 50, overlap: int = 5) -> DataFram
     step = size - overlap
     text = F.coalesce("source", F.lit(""))
     rows = F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
-    n = F.when(text == "", 0).otherwise(F.size("_lines"))
+    others = [c for c in files.columns if c != "source"]
+    # The lines are made once a file, and the windows are cut before they become rows: no row carries all lines.
+    cut = files.select(*others, F.inline(F.array(F.struct(rows.alias("_lines"), (text == "").alias("_empty")))))
+    n = F.when(F.col("_empty"), 0).otherwise(F.size("_lines"))
     # The window at s is the last once s + size >= n.
     last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
-    cut = files.withColumn("_lines", rows).withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("_k") * step
-    out = cut.withColumn("start_line", (start + 1).cast("int")).withColumn("end_line", F.least(start + size, F.col("_n")).cast("int"))
-    return out.withColumn("code", F.array_join(F.slice("_lines", F.col("start_line"), size), "\n")).drop("_lines", "_n", "_k", "source")
+    window = lambda k: F.struct((k * step + 1).cast("int").alias("start_line"), F.least(k * step + size, n).cast("int").alias("end_line"), F.array_join(F.slice("_lines", (k * step + 1).cast("int"), F.lit(size)), "\n").alias("code"))
+    return cut.select(*others, F.inline(F.transform(F.sequence(F.lit(0), last), window)))
 
 
 def _python(source: str) -> Iterator[tuple[str, str, int, int, str, str]]:

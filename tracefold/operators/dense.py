@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.bm25 import ranked
+from tracefold.sources.scratch import written
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -53,73 +54,99 @@ def encode_column(text: Column, encoder: Encoder, second: Encoder | None = None,
     return run.asNondeterministic()(text)
 
 
+def text_hash(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def missing_embeddings(chunks: DataFrame, text: Column, encoder: Encoder, cache: DataFrame | None, model_id: str) -> DataFrame:
+    """model_id, text_hash and embedding of the distinct texts that the cache lacks."""
+    wanted = chunks.select(text.alias("_text")).withColumn("text_hash", text_hash(F.col("_text"))).dropDuplicates(["text_hash"])
+    if cache is not None:
+        wanted = wanted.join(cache.filter(F.col("model_id") == model_id).select("text_hash"), "text_hash", "left_anti")
+    return wanted.select(F.lit(model_id).alias("model_id"), "text_hash", encode_column(F.col("_text"), encoder).alias("embedding"))
+
+
+def from_cache(chunks: DataFrame, text: Column, cache: DataFrame, model_id: str) -> DataFrame:
+    """``chunks`` with the ``embedding`` that the cache has for their text."""
+    own = cache.filter(F.col("model_id") == model_id).select("text_hash", "embedding").dropDuplicates(["text_hash"])
+    return chunks.withColumn("text_hash", text_hash(text)).join(own, "text_hash", "left").drop("text_hash")
+
+
 def with_embeddings(chunks: DataFrame, text: Column, encoder: Encoder, cache: DataFrame | None, model_id: str) -> tuple[DataFrame, DataFrame]:
     """``chunks`` with ``embedding``, and the cache with the new vectors.
 
     The cache (model_id, text_hash, embedding) is keyed by model and by the
-    embedded text.  Only distinct texts that it lacks reach the encoder.
+    embedded text.  Only distinct texts that it lacks reach the encoder, once:
+    their vectors are written before both results read them.
     """
-    keyed = chunks.withColumn("_text", text).withColumn("text_hash", F.sha2(F.col("_text").cast("binary"), 256))
-    wanted = keyed.select("text_hash", "_text").dropDuplicates(["text_hash"])
-    if cache is not None:
-        own = cache.filter(F.col("model_id") == model_id)
-        wanted = wanted.join(own.select("text_hash"), "text_hash", "left_anti")
-    new = wanted.select(F.lit(model_id).alias("model_id"), "text_hash", encode_column(F.col("_text"), encoder).alias("embedding"))
+    new = written(missing_embeddings(chunks, text, encoder, cache, model_id))
     whole = new if cache is None else cache.unionByName(new)
-    out = keyed.join(whole.filter(F.col("model_id") == model_id).select("text_hash", "embedding"), "text_hash", "left").drop("_text", "text_hash")
-    return out, whole
+    return from_cache(chunks, text, whole, model_id), whole
+
+
+def _packed(source: DataFrame, size: int, id_kind: str) -> DataFrame:
+    """ids, dim and matrix: rows (id, v) in blocks of at most ``size`` vectors of one length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 100, id_col: str = "id", vec_col: str = "embedding", query_block: int = 4096) -> DataFrame:
-    """query_id, id, score (inner product, rounded), rank: exact, in blocks of queries.
+        def block(dim: int) -> pa.RecordBatch:
+            ids, rows = zip(*waiting.pop(dim), strict=True)
+            matrix = np.array(rows, np.float64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([list(ids)], pa.list_(id_type)), pa.array([dim], pa.int32()), pa.array([matrix], pa.binary())], ["ids", "dim", "matrix"])
 
-    Queries are numbered into blocks of at most ``query_block``, so each broadcast
-    matrix has a known size.  Each partition keeps ``k`` rows a query, before the
-    only exchange.
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting.setdefault(len(v), []).append((i, v))
+                if len(waiting[len(v)]) >= size:
+                    yield block(len(v))
+        for dim in sorted(waiting):
+            yield block(dim)
+
+    return source.mapInArrow(run, f"ids array<{id_kind}>, dim int, matrix binary")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 100, id_col: str = "id", vec_col: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
+    """query_id, id, score (inner product, rounded), rank: exact.
+
+    Blocks of queries meet blocks of vectors in an equi-join on a cell number, as
+    matrix products; nothing passes through the driver.  A task keeps ``k`` rows
+    for each query of the blocks it met, before the last exchange.
     """
-    spark = vectors.sparkSession
-    asked = queries.select("query_id", F.col(vec_col).alias("q")).toLocalIterator(prefetchPartitions=True)
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind, id_kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
-    parts: list[DataFrame] = []
-
-    def block(ids: list, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_score, best_id = None, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
+    asked = queries.select("query_id", F.col(vec_col).alias("v")).filter("v is not null").repartition(max(1, cells // 8))
+    right = _packed(rows, block, id_kind).withColumn("_cell", F.pmod(F.xxhash64("matrix"), F.lit(cells)))
+    left = _packed(asked, query_block, kind).select(F.col("ids").alias("q_ids"), "dim", F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("_cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple] = {}
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for q_ids, scores, ids in best.values():
+                n = scores.shape[1]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), n))), pa.array(ids.ravel().tolist()), pa.array(scores.ravel())], ["query_id", "id", "score"])
+            best.clear()
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                q_ids, q_raw, ids, raw = (batch.column(c)[n] for c in range(4))
+                key, ids = q_raw.as_py(), ids.as_py()
+                q, v = (np.frombuffer(x, np.float64).reshape(m, -1) for x, m in ((key, len(q_ids)), (raw.as_py(), len(ids))))
                 own = np.round(q @ v.T, 6)
-                names = np.broadcast_to(np.array(batch.column(0).to_pylist(), object if id_kind == "string" else np.int64)[None, :], own.shape)
-                if best_score is not None:
-                    own, names = np.concatenate([best_score, own], 1), np.concatenate([best_id, names], 1)
-                order = np.stack([np.lexsort((n, -s))[:k] for s, n in zip(own, names, strict=True)])
-                best_score, best_id = np.take_along_axis(own, order, 1), np.take_along_axis(names, order, 1)
-            if best_score is not None:
-                n = best_score.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)]), pa.array(best_id.ravel().tolist()), pa.array(best_score.ravel())], ["query_id", "id", "score"])
-
-        return source.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
-
-    ids, rows = [], []
-    for r in asked:
-        if r["q"] is None:
-            continue
-        ids.append(r["query_id"])
-        rows.append(r["q"])
-        if len(ids) == query_block:
-            parts.append(block(ids, np.array(rows, np.float64)))
-            ids, rows = [], []
-    if ids or not parts:
-        parts.append(block(ids, np.array(rows, np.float64).reshape(len(ids), -1))) if ids else parts.append(spark.createDataFrame([], f"query_id {kind}, id {id_kind}, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, k)
+                names = np.broadcast_to(np.array(ids, object if id_kind == "string" else np.int64)[None, :], own.shape)
+                if key in best:
+                    own, names = np.concatenate([best[key][1], own], 1), np.concatenate([best[key][2], names], 1)
+                order = np.stack([np.lexsort((x, -s))[:k] for s, x in zip(own, names, strict=True)])
+                best[key] = (q_ids.values, np.take_along_axis(own, order, 1), np.take_along_axis(names, order, 1))
+                if len(best) > 64:
+                    yield from results()
+        yield from results()
+
+    joined = right.join(left, ["_cell", "dim"]).select("q_ids", "q_matrix", "ids", "matrix")
+    return ranked(joined.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double"), k)
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -149,7 +176,7 @@ class InvertedFile:
 
         return run(vec)
 
-    def search(self, queries: DataFrame, k: int = 100, probes: int = 8, vec_col: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 100, probes: int = 56, vec_col: str = "embedding") -> DataFrame:
         asked = queries.select("query_id", F.col(vec_col).alias("q")).withColumn("cell", F.explode(self._nearest(F.col("q"), probes)))
         return ranked(self.cells.join(asked, "cell").select("query_id", "id", F.round(inner_product(F.col("q"), F.col("v")), 6).alias("score")), k)
 

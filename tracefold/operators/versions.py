@@ -39,7 +39,7 @@ def name_matches(repo_name: Column, repo_path: Column, wanted: Column) -> Column
     path = F.lower(F.regexp_replace(F.coalesce(repo_path, F.lit("")), r"\\", "/"))
     want = F.regexp_replace(F.rtrim(F.regexp_replace(F.lower(F.trim(wanted)), r"\\", "/"), F.lit("/")), r"\.git\z", "")
     base, want_base = basename(path), basename(want)
-    return (want == name) | (want == base) | ((want != "") & path.contains(want)) | name.endswith(want) | (want_base == base) | name.endswith(want_base)
+    return (want_base != "") & ((want == name) | (want == base) | path.contains(want) | name.endswith(want) | (want_base == base) | name.endswith(want_base))
 
 
 def matching(manifests: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from them by one expression that both engines evaluate (``DERIVED``).
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import ids, queryprep, tagging, text
 from tracefold.operators import bm25, chunking, dense, fusion, metrics, readme, versions
+from tracefold.sources import scratch
 from tracefold.plans import ablation
 from tracefold.streaming import jobs
 
@@ -156,14 +157,16 @@ def dense_topk(spark, sf_dir):
 
 def dense_ann_recall(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
-    found = dense.InvertedFile(rows, cells=16).search(asked, 10, probes=8)
+    found = dense.InvertedFile(rows, cells=16).search(asked, 10, probes=14)
     return dense.recall(found, dense.search(rows, asked, 10))
 
 
 def rrf_weighted_nlists(spark, sf_dir):
+    """Every hundredth vector as a query, with three lists each: of its own vector, of its opposite and of the next one's."""
     rows, asked = _vectors(spark, sf_dir)
-    lists = [dense.search(rows, asked.filter(F.col("query_id") % 300 == r).select(F.lit(0).cast("long").alias("query_id"), "embedding").limit(1), 15) for r in (0, 100, 200)]
-    return fusion.fuse_many(lists, weights=[1.0, 0.5, 2.0])
+    opposite = asked.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    following = rows.filter(F.col("id") % 100 == 1).select((F.col("id") - 1).alias("query_id"), "embedding")
+    return fusion.fuse_many([dense.search(rows, q, 15) for q in (asked, opposite, following)], weights=[1.0, 0.5, 2.0])
 
 
 def high_confidence_gate(spark, sf_dir):
@@ -178,7 +181,8 @@ def single_retriever_fallback(spark, sf_dir):
 
 def post_filter_vs_prefilter(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    scored = bm25.scores(_index(spark, sf_dir), _queries_of(spark, sf_dir))
+    asked = _queries_of(spark, sf_dir)
+    scored = bm25.scores(bm25.build_for(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), bm25.query_terms(asked)), asked)
     after = fusion.post_filter(bm25.ranked(scored, 10).join(docs, "id"), lang="DE")
     before = bm25.ranked(fusion.post_filter(scored.join(docs, "id"), lang="DE"), 10)
     out = "query_id", "id", "score", "rank"
@@ -312,7 +316,7 @@ def stream_jobs(spark, sf_dir):
     from tracefold.streaming.replay import replay_jobs
 
     rows = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("job_id"), F.col("r_name").alias("repo_path"), F.lit(None).cast("string").alias("commit_sha"), F.lit(False).alias("force_full"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracefold-jobs-")
+    base = os.path.join(scratch.shared_dir(spark), uuid.uuid4().hex)
     return jobs.latest_states(replay_jobs(rows, os.path.join(base, "jobs")), order=("ts", "status")).select("job_id", "status", "message")
 
 

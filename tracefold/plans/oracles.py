@@ -143,10 +143,12 @@ ORACLES = {
         firsts AS (SELECT *, list_filter(w, lambda t, i: list_position(w, t) = i AND len(t) > 2 AND t NOT IN ({_STOP}) AND contains(body, t)) AS hit FROM words)
         SELECT query_id, id, array_to_string(hit[1:5], ' ') AS terms FROM firsts""",
     "dense_topk": f"WITH {_DENSE} {_top('products', 10)}",
-    "rrf_weighted_nlists": f"""WITH {_VECS}, picked AS (SELECT id AS q_id, (id % 300) // 100 AS r FROM vecs WHERE id IN (0, 100, 200)),
-        products AS (SELECT r AS query_id, c.id, {_DOT} AS score FROM vecs q JOIN picked ON q_id = q.id, vecs c), best AS ({_top("products", 15)}),
-        parts AS (SELECT id, round(sum([1.0, 0.5, 2.0][query_id + 1]::DOUBLE / (rank + 60)), 6) AS fused_score FROM best GROUP BY 1)
-        SELECT 0::BIGINT AS query_id, id, fused_score, (row_number() OVER (ORDER BY fused_score DESC, id))::INT AS rank FROM parts""",
+    "rrf_weighted_nlists": f"""WITH {_VECS},
+        asked AS (SELECT id AS query_id, v, 1.0 AS w FROM vecs WHERE id % 100 = 0 UNION ALL SELECT id, list_transform(v, lambda x: -x), 0.5 FROM vecs WHERE id % 100 = 0 UNION ALL SELECT id - 1, v, 2.0 FROM vecs WHERE id % 100 = 1),
+        products AS (SELECT q.query_id, q.w, c.id, {_DOT} AS score FROM asked q, vecs c),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, id) AS rank FROM products QUALIFY rank <= 15),
+        parts AS (SELECT query_id, id, round(sum(w::DOUBLE / (rank + 60)), 6) AS fused_score FROM best GROUP BY 1, 2)
+        SELECT query_id, id, fused_score, (row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, id))::INT AS rank FROM parts""",
     "high_confidence_gate": f"""WITH {_lists()}, {_fused()}, two AS (SELECT query_id, max(CASE WHEN rank = 1 THEN fused_score END) AS top, max(CASE WHEN rank = 2 THEN fused_score END) AS second FROM fused WHERE rank <= 2 GROUP BY 1)
         SELECT query_id, top, second, CASE WHEN second IS NULL THEN true WHEN top = 0 THEN false ELSE (top - second) / top >= 0.02 END AS confident FROM two""",
     "single_retriever_fallback": f"""WITH {_lists()}, l2 AS (SELECT * FROM lexical WHERE query_id % 3 <> 0), n2 AS (SELECT * FROM near WHERE query_id % 3 <> 1),

@@ -8,6 +8,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tracefold.functions import queryprep, text
 from tracefold.operators import bm25, dense, fusion, versions
 from tracefold.operators.chunking import chunk_files
 from tracefold.sources import git
+from tracefold.sources.scratch import written
 from tracefold.sources.files import SnapshotStore, scan_repository
 
 
@@ -128,14 +130,15 @@ class Engine:
         self.store.write("term_df", index.term_df, snapshot)
         self.store.write("corpus_stats", index.stats, snapshot)
         known = self.store.read("embedding_cache")
+        known = None if known is None else known.filter(F.col("snapshot_id") != snapshot).drop("snapshot_id")
         passage = text.normalize_document(F.col("code"), F.col("symbol_name"))
-        # The cache is read before it grows: new vectors go to a partition of their own.
-        with_vectors, whole = dense.with_embeddings(saved.select("chunk_id", "symbol_name", "code"), passage, self.encoder, None if known is None else known.drop("snapshot_id"), self.model_id)
-        self.store.write("vectors", with_vectors.select("chunk_id", "embedding"), snapshot)
-        n_texts = saved.select(F.sha2(passage.cast("binary"), 256)).distinct().count()
-        new = whole if known is None else whole.join(known.select("model_id", "text_hash"), ["model_id", "text_hash"], "left_anti")
-        self.store.write("embedding_cache", new, snapshot)
+        # New vectors are written to a partition of their own and read back: a text reaches the encoder once.
+        self.store.write("embedding_cache", dense.missing_embeddings(saved, passage, self.encoder, known, self.model_id), snapshot)
         added = self.store.read("embedding_cache", [snapshot])
+        caches = [x for x in (known, None if added is None else added.drop("snapshot_id")) if x is not None]
+        vectors = dense.from_cache(saved.select("chunk_id", "symbol_name", "code"), passage, reduce(DataFrame.unionByName, caches), self.model_id)
+        self.store.write("vectors", vectors.select("chunk_id", "embedding"), snapshot)
+        n_texts = saved.select(dense.text_hash(passage)).distinct().count()
         n_new = 0 if added is None else added.count()
         row = (snapshot, commit, tag, message, saved.count(), self.model_id, time.monotonic() - began, n_new, n_texts - n_new, repo_path or repo_name, repo_name)
         names = "snapshot_id string, original_commit string, tag string, commit_message string, chunk_count long, model_name string, build_time_seconds double, n_embedded long, n_cached long, repo_path string, repo_name string"
@@ -181,7 +184,8 @@ class Engine:
         vectors = self.store.read("vectors", ids)
         if options.prefilter:
             vectors = vectors.join(chunks.select("snapshot_id", "chunk_id"), ["snapshot_id", "chunk_id"], "left_semi")
-        asked = cleaned.select("query_id", dense.encode_column(F.col("cleaned"), self.encoder).alias("embedding"))
+        # Written, so that a query is encoded once, however many snapshots there are.
+        asked = written(cleaned.select("query_id", dense.encode_column(F.col("cleaned"), self.encoder).alias("embedding")))
         near = None
         for s in ids:  # a matrix product per snapshot, as ranks are per snapshot
             own = dense.search(vectors.filter(F.col("snapshot_id") == s), asked, options.candidates, "chunk_id").withColumn("snapshot_id", F.lit(s))
