@@ -63,7 +63,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracefold.llm.common import WordHashes, column, discard, kept, one_blas_thread, slices, words_of
 
 END = b"\n"  # no word holds a line end
-RESTS = 64
+RESTS = 32
 
 
 def rest_class(word: bytes) -> int:
@@ -128,7 +128,7 @@ class Words:
         return np.r_[np.arange(self.singles), groups, np.arange(RESTS) + self.singles + len(self.edges) - 1].astype(np.int64)
 
 
-def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 32_000, singles: int = 256, groups: int = 192) -> Words:
+def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 16_000, singles: int = 128, groups: int = 128) -> Words:
     """The list from a table of all words (word, n)."""
     top = counted.filter((F.col("n") >= min_count) | (F.col("word") == F.lit(bytearray(END)))).orderBy(F.desc("n"), "word").limit(most_words).collect()
     rows = [(bytes(r["word"]), r["n"]) for r in top]
@@ -191,7 +191,14 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(keys.astype(np.uint16), kind="stable")  # numpy sorts short integers by radix
     ordered = keys[order]
     at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[at], np.add.reduceat(rows[order], at), np.diff(np.r_[at, len(keys)])
+    return ordered[at], np.add.reduceat(rows.take(order, 0), at), np.diff(np.r_[at, len(keys)])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Bilinear:
@@ -208,6 +215,7 @@ class Bilinear:
         mass = np.maximum(np.r_[words.counts, words.rest_n].astype(np.float64), 0.5)
         by_class = np.bincount(self.class_of, mass, n_classes)
         self.class_share = by_class / by_class.sum()
+        self.class_ends = np.cumsum(self.class_share)[:-1]
         self.cumulative = np.cumsum(np.r_[0.0, mass[: self.listed]])
         self.word_share = mass / by_class[self.class_of]  # of a word in its class
         # The last column of outputs is the bias, that of contexts does nothing.
@@ -225,51 +233,62 @@ class Bilinear:
         own.uses = {p: np.zeros(len(getattr(self, p)), np.int64) for p in self.PARTS}
         return own
 
-    def _step(self, part: str, rows: np.ndarray | slice, gradient: np.ndarray, uses: np.ndarray | int, rate: float) -> None:
-        squares = self.squares[part][rows] + gradient * gradient
-        self.squares[part][rows] = squares
-        getattr(self, part)[rows] += rate * gradient / np.sqrt(squares)
+    def _step(self, part: str, rows: np.ndarray, gradient: np.ndarray, uses: np.ndarray | int, rate: float) -> None:
+        own, all_squares = getattr(self, part), self.squares[part]
+        squares = all_squares.take(rows, 0)
+        squares += gradient * gradient
+        all_squares[rows] = squares
+        np.sqrt(squares, out=squares)
+        np.divide(gradient, squares, out=squares)
+        squares *= rate
+        squares += own.take(rows, 0)
+        own[rows] = squares
         self.uses[part][rows] += uses
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.weights[0] + self.context[two] * self.weights[1]
+        return self.context.take(one, 0) * self.weights[0] + self.context.take(two, 0) * self.weights[1]
 
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, noise: int = 64, group_noise: int = 4, rate: float = 0.1) -> None:
+    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, noise: int = 48, group_noise: int = 3, rate: float = 0.1) -> None:
         """One step of noise-contrastive estimation on both levels, with AdaGrad scaling."""
-        guess = self.predicted(one, two)
-        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        n, dims = len(target), self.context.shape[1]
+        before = self.context.take(np.r_[one, two], 0)
+        guess = before[:n] * self.weights[0] + before[n:] * self.weights[1]
         # Classes, against classes drawn for the whole batch.
-        wanted = self.class_of[target]
-        fake = rng.choice(len(self.class_share), noise, p=self.class_share)
-        log_noise = np.log(noise * self.class_share).astype(np.float32)
-        q, f = self.output[wanted], self.output[fake]
-        error = 1 - sigmoid((guess * q[:, :-1]).sum(1) + q[:, -1] - log_noise[wanted])
-        wrong = -sigmoid(guess @ f[:, :-1].T + f[:, -1] - log_noise[fake])
-        d_guess = error[:, None] * q[:, :-1] + wrong @ f[:, :-1]
-        by_fake = np.c_[wrong.T @ guess, wrong.sum(0)]
-        rows = np.concatenate([np.c_[error[:, None] * guess, error], by_fake])
-        keys, sums, n = _summed(np.r_[wanted, fake], rows)
+        wanted = self.class_of.take(target)
+        fake = np.searchsorted(self.class_ends, rng.random(noise), side="right")
+        q, f = self.output.take(wanted, 0), self.output.take(fake, 0)
+        rows = np.empty((n + noise, dims + 1), np.float32)
+        error = _sigmoid(np.log(noise * self.class_share.take(wanted)).astype(np.float32) - np.einsum("nd,nd->n", guess, q[:, :dims]) - q[:, dims])
+        wrong = -_sigmoid(guess @ f[:, :dims].T + (f[:, dims] - np.log(noise * self.class_share.take(fake)).astype(np.float32)))
+        d_guess = wrong @ f[:, :dims]
+        d_guess += error[:, None] * q[:, :dims]
+        np.multiply(error[:, None], guess, out=rows[:n, :dims])
+        rows[:n, dims] = error
+        rows[n:, :dims] = wrong.T @ guess
+        rows[n:, dims] = wrong.sum(0)
+        keys, sums, times = _summed(np.r_[wanted, fake], rows)
         # Words of a group, each against words of its group.
         inner = np.flatnonzero((target >= self.singles) & (target < self.listed))
         if len(inner):
-            word = target[inner]
-            group = wanted[inner] - self.singles
-            low, high = self.cumulative[self.edges[group]], self.cumulative[self.edges[group + 1]]
+            word, group = target.take(inner), wanted.take(inner) - self.singles
+            first, last = self.edges.take(group), self.edges.take(group + 1)
+            low, high = self.cumulative.take(first), self.cumulative.take(last)
             drawn = np.searchsorted(self.cumulative, low[:, None] + rng.random((len(inner), group_noise)) * (high - low)[:, None], side="right") - 1
-            both = np.c_[word, np.clip(drawn, self.edges[group][:, None], self.edges[group + 1][:, None] - 1)]
-            w, g = self.word_output[both], guess[inner]
-            odds = np.einsum("nd,nkd->nk", g, w[:, :, :-1]) + w[:, :, -1] - np.log(group_noise * self.word_share[both]).astype(np.float32)
-            off = -sigmoid(odds)
+            both = np.concatenate([word[:, None], np.clip(drawn, first[:, None], last[:, None] - 1)], 1)
+            w, g = self.word_output.take(both, 0), guess.take(inner, 0)
+            off = -_sigmoid(np.einsum("nd,nkd->nk", g, w[:, :, :dims]) + w[:, :, dims] - np.log(group_noise * self.word_share.take(both)).astype(np.float32))
             off[:, 0] += 1
-            d_guess[inner] += np.einsum("nk,nkd->nd", off, w[:, :, :-1])
-            grown = np.concatenate([off[:, :, None] * g[:, None, :], off[:, :, None]], 2).reshape(-1, w.shape[2])
-            at, total, times = _summed(both.ravel(), grown)
-            self._step("word_output", at, total, times, rate)
-        self._step("output", keys, sums, n, rate)
-        d_weights = np.stack([(d_guess * self.context[one]).sum(0), (d_guess * self.context[two]).sum(0)])
-        at, total, times = _summed(np.r_[one, two], np.concatenate([d_guess * self.weights[0], d_guess * self.weights[1]]))
-        self._step("context", at, total, times, rate)
-        self._step("weights", slice(None), d_weights, len(target), rate)
+            d_guess[inner] += np.einsum("nk,nkd->nd", off, w[:, :, :dims])
+            grown = np.empty(w.shape, np.float32)
+            np.multiply(off[:, :, None], g[:, None, :], out=grown[:, :, :dims])
+            grown[:, :, dims] = off
+            self._step("word_output", *_summed(both.ravel(), grown.reshape(-1, dims + 1)), rate)
+        self._step("output", keys, sums, times, rate)
+        d_weights = np.stack([np.einsum("nd,nd->d", d_guess, before[:n]), np.einsum("nd,nd->d", d_guess, before[n:])])
+        np.multiply(d_guess, self.weights[0], out=before[:n])
+        np.multiply(d_guess, self.weights[1], out=before[n:])
+        self._step("context", *_summed(np.r_[one, two], before), rate)
+        self._step("weights", np.arange(2), d_weights, n, rate)
 
     def fixed_sums(self, bits: int) -> list[np.ndarray]:
         """Every part as integers: its rows times their uses, and the uses."""
@@ -288,13 +307,14 @@ class Bilinear:
 
     def log10_probability(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log probabilities of the codes: of listed words, and of rest classes as a whole."""
+        by_class = np.ascontiguousarray(self.output[:, :-1].T)
         pairs, at = np.unique(one.astype(np.int64) * (self.start + 1) + two, return_inverse=True)
         norm = np.empty(len(pairs), np.float32)
         vectors = self.predicted(pairs // (self.start + 1), pairs % (self.start + 1))
         for a in range(0, len(pairs), 2048):
-            norm[a : a + 2048] = _log_sums(vectors[a : a + 2048], self.output)
-        guess, wanted = vectors[at], self.class_of[target]
-        q = self.output[wanted]
+            norm[a : a + 2048] = _log_sums(vectors[a : a + 2048], by_class, self.output[:, -1])
+        guess, wanted = vectors.take(at, 0), self.class_of.take(target)
+        q = self.output.take(wanted, 0)
         score = np.einsum("nd,nd->n", guess, q[:, :-1]) + q[:, -1] - norm[at]
         inner = np.flatnonzero((target >= self.singles) & (target < self.listed))
         inner = inner[np.argsort(wanted[inner].astype(np.uint16), kind="stable")]
@@ -302,18 +322,23 @@ class Bilinear:
         for g in np.flatnonzero(np.diff(ends)).tolist():
             own = inner[ends[g] : ends[g + 1]]
             block = self.word_output[self.edges[g] : self.edges[g + 1]]
-            q = self.word_output[target[own]]
+            by_word = np.ascontiguousarray(block[:, :-1].T)
+            q = self.word_output.take(target[own], 0)
             score[own] += (guess[own] * q[:, :-1]).sum(1) + q[:, -1]
             for a in range(0, len(own), 8192):
-                score[own[a : a + 8192]] -= _log_sums(guess[own[a : a + 8192]], block)
+                score[own[a : a + 8192]] -= _log_sums(guess.take(own[a : a + 8192], 0), by_word, block[:, -1])
         return score.astype(np.float64) / np.log(10)
 
 
-def _log_sums(guess: np.ndarray, outputs: np.ndarray) -> np.ndarray:
-    s = guess @ outputs[:, :-1].T + outputs[:, -1]
-    top = s.max(1, keepdims=True)
-    s -= top
-    return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
+def _log_sums(guess: np.ndarray, outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    s = guess @ outputs
+    s += bias
+    top = np.zeros(len(s), np.float32)
+    if s.max() > 60:
+        top = s.max(1)
+        s -= top[:, None]
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], np.float32)) + top
 
 
 _CODED = "slice long, place int, id {}, learn boolean, order long, n_tokens long, codes binary, bucket int, words binary, docs binary, times binary"
