@@ -274,7 +274,8 @@ def test_lm_trains_on_every_token_once(spark, monkeypatch):
         if "codes" in frame.columns:
             list(run(iter(frame.toArrow().to_batches(max_chunksize=5))))
     for _, text, *_ in rows:
-        codes = bilinear_lm.Coder(listed.words)(words(text, lower=True) and [w.encode() for w in words(text, lower=True)]).tolist()
+        coder = bilinear_lm.Coder(listed.words)
+        codes = coder.codes(coder.numbers([[w.encode() for w in words(text, lower=True)]])).tolist()
         want.update(zip(codes, [listed.start, *codes[:-1]], strict=True))
     assert used == want
 

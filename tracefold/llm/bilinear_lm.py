@@ -52,6 +52,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracefold.llm.common import WordHashes, column, discard, kept, one_blas_thread, slices, words_of
+from tracefold.llm.common import column, discard, kept, one_blas_thread, slices, words_of
 
 END = b"\n"  # no word holds a line end
 RESTS = 32
@@ -128,7 +129,7 @@ class Words:
         return np.r_[np.arange(self.singles), groups, np.arange(RESTS) + self.singles + len(self.edges) - 1].astype(np.int64)
 
 
-def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 16_000, singles: int = 128, groups: int = 128) -> Words:
+def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 16_000, singles: int = 96, groups: int = 96) -> Words:
     """The list from a table of all words (word, n)."""
     top = counted.filter((F.col("n") >= min_count) | (F.col("word") == F.lit(bytearray(END)))).orderBy(F.desc("n"), "word").limit(most_words).collect()
     rows = [(bytes(r["word"]), r["n"]) for r in top]
@@ -153,22 +154,43 @@ def list_words(counted: DataFrame, min_count: int = 20, most_words: int = 16_000
 
 
 class Coder(dict):
-    """Codes of words; remembers those outside the list up to a bound of entries."""
+    """Numbers words as they are first met, and keeps the code and hash of each number.
+
+    Listed words have their code as number; of others up to ``most`` are remembered.
+    """
 
     def __init__(self, words: list[bytes], most: int = 400_000):
-        super().__init__({w: k for k, w in enumerate(words)})
-        self.listed, self.most, self.n = dict(self), len(self) + most, len(words)
+        import xxhash
+
+        self.listed, self.n, self.most, self._hash = {w: k for k, w in enumerate(words)}, len(words), most, xxhash.xxh3_64_intdigest
+        self.new: list[bytes] = []
+        self._codes, self._hashes = np.arange(self.n, dtype=np.uint16), np.zeros(self.n, np.uint64)
+        super().__init__(self.listed)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words, each text followed by its end."""
+        if len(self) > self.n + self.most:  # texts may overshoot, then all but the listed are forgotten
             self.clear()
             self.update(self.listed)
-        self[word] = code = self.n + rest_class(word)
-        return code
+            self._codes, self._hashes = self._codes[: self.n], self._hashes[: self.n]
+        flat = chain.from_iterable(chain(t, (END,)) for t in texts)
+        out = np.fromiter(map(self.__getitem__, flat), np.int64, sum(map(len, texts)) + len(texts))
+        if self.new:
+            self._codes = np.r_[self._codes, np.fromiter((self.n + rest_class(w) for w in self.new), np.uint16, len(self.new))]
+            self._hashes = np.r_[self._hashes, np.fromiter(map(self._hash, self.new), np.uint64, len(self.new))]
+            self.new.clear()
+        return out
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        return self._codes.take(numbers)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """The codes of a text and its end."""
-        return np.fromiter(map(self.__getitem__, [*words, END]), np.uint16, len(words) + 1)
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        return self._hashes.take(numbers)
 
 
 def contexts(codes: np.ndarray, starts: np.ndarray, start_code: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +270,7 @@ class Bilinear:
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context.take(one, 0) * self.weights[0] + self.context.take(two, 0) * self.weights[1]
 
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, noise: int = 48, group_noise: int = 3, rate: float = 0.1) -> None:
+    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, noise: int = 24, group_noise: int = 2, rate: float = 0.1) -> None:
         """One step of noise-contrastive estimation on both levels, with AdaGrad scaling."""
         n, dims = len(target), self.context.shape[1]
         before = self.context.take(np.r_[one, two], 0)
@@ -355,26 +377,23 @@ def encode(docs: DataFrame, words: Words, learn_col: str, id_col: str = "doc_id"
     fields = [pa.field(*x) for x in (("slice", pa.int64()), ("place", pa.int32()), ("id", id_type), ("learn", pa.bool_()), ("order", pa.int64()), ("n_tokens", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, hashes = Coder(shared.value), WordHashes()
+        coder = Coder(shared.value)
         for piece in slices(batches, "text", slice_bytes, 1 << 12):
             texts = [words_of(t, lower=True) for t in column(piece, "text").to_pylist()]
-            coded = [coder(t) for t in texts]
             n, name = len(texts), column(piece, "row")[0].as_py()
-            sizes = np.fromiter(map(len, coded), np.int64, n)
-            yield _filled({"slice": np.full(n, name), "place": np.arange(n, dtype=np.int32), "id": column(piece, "id"), "learn": column(piece, "learn"), "order": column(piece, "order"), "n_tokens": sizes, "codes": pa.array([c.tobytes() for c in coded], pa.binary())}, n, fields)
-            codes = np.concatenate(coded)
-            rest = np.flatnonzero(codes >= coder.n)
+            sizes = np.fromiter(map(len, texts), np.int64, n) + 1
+            numbers = coder.numbers(texts)
+            raw, ends = coder.codes(numbers).tobytes(), (2 * np.cumsum(sizes)).tolist()
+            yield _filled({"slice": np.full(n, name), "place": np.arange(n, dtype=np.int32), "id": column(piece, "id"), "learn": column(piece, "learn"), "order": column(piece, "order"), "n_tokens": sizes, "codes": pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())}, n, fields)
+            rest = np.flatnonzero(numbers >= coder.n)
             if not len(rest):
                 continue
-            flat = [w for t in texts for w in (*t, END)]
             doc = np.repeat(np.arange(n), sizes)[rest]
-            keys = hashes.of([flat[k] for k in rest.tolist()])
+            pairs, times = np.unique(doc * len(coder) + numbers[rest], return_counts=True)
+            doc, keys = pairs // len(coder), coder.hashes(pairs % len(coder))
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            by = np.lexsort((doc, keys, bucket))
-            keys, doc, bucket = keys[by], doc[by], bucket[by]
-            head = np.flatnonzero(np.r_[True, (np.diff(keys) != 0) | (np.diff(doc) != 0)])
-            times = np.diff(np.r_[head, len(keys)]).astype(np.uint32)
-            keys, doc, bucket = keys[head], doc[head], bucket[head]
+            by = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            keys, doc, bucket, times = keys[by], doc[by], bucket[by], times[by].astype(np.uint32)
             marks = (doc << 1 | column(piece, "learn").to_numpy(zero_copy_only=False)[doc]).astype(np.uint32)
             ends = np.flatnonzero(np.r_[np.diff(bucket) != 0, True]) + 1
             first = np.r_[0, ends[:-1]]
@@ -507,10 +526,8 @@ def score(coded: DataFrame, model: Bilinear, words: Words, id_col: str = "doc_id
         if packed.num_rows:
             marks, times, c = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in packed[name]]) for name in ("docs", "times", "answers"))
             doc = (marks >> 1).astype(np.int64)
-            by = np.lexsort((times, c, doc))  # the sums don't depend on the order of arrival
-            doc, times, c = doc[by], times[by].astype(np.int64), c[by]
             rest = np.bincount(doc, np.log10(c.astype(np.float64) + 0.5) * times, n)
-            hit = hit + np.bincount(doc, (c > 0) * times, n).astype(np.int64)
+            hit = hit + np.bincount(doc, (c > 0) * times.astype(np.int64), n).astype(np.int64)
         out = own.select(["id", "n_tokens"])
         for name, x in (("n_known", hit), ("base", logs + rest), ("model", own["model"].to_numpy() + rest)):
             out = out.append_column(name, pa.array(x))
