@@ -52,11 +52,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = cut(setsketch_dedup.near_duplicates(marked, carry=("_p_text",)).select(*key, "kept", "group"))
     stays = found.filter("kept and group is not null")
     several = stays.groupBy("group").agg(F.count("*").alias("_p_n"), F.min(row).alias("_p_first")).filter("_p_n > 1")
-    again = stays.join(several, "group")  # groups whose smallest id has several rows
+    again = cut(stays.join(several, "group").select(*key, (row == F.col("_p_first")).alias("_p_is_first")).distinct())  # groups whose smallest id has several rows
     gone = found.filter("not kept").select(*key).unionByName(again.select(*key)).distinct()
     left = marked.join(gone, key, "left_anti")
-    first = again.filter(row == F.col("_p_first")).select(*key).distinct()
-    return left.unionByName(marked.join(first, key, "left_semi").dropDuplicates(key)).select(*docs.columns)
+    if not again.isEmpty():  # without such groups, this would exchange all texts once more for no row
+        left = left.unionByName(marked.join(again.filter("_p_is_first").select(*key), key, "left_semi").dropDuplicates(key))
+    return left.select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
