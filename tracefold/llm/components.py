@@ -1,13 +1,14 @@
 """Connected components of a table of links.
 
 Each round contracts links in two ways: tasks run a union-find over pieces of
-their links, of a fixed number, and alternating stars point all larger
-neighbours of a vertex at its smallest one, then all its smaller ones.  Minima
-are aggregated with partial sums, and a vertex with very many links only makes
-a skewed equi-join, which adaptive execution splits.  Rounds are cut by a table
-in the shared folder and stop when every vertex has one link, to a vertex that
-has none.  Tables of all sizes go the same way; small ones settle in the first
-task.
+a fixed number of links, and alternating stars point all larger neighbours of a
+vertex at its smallest one, then all its smaller ones.  Minima are aggregated
+with partial sums, and a vertex with very many links only makes a skewed
+equi-join, which adaptive execution splits.  The number of pieces follows the
+number of links, whatever the partitions are, so that a task holds one piece
+and no task is started for a handful of links.  Rounds are cut by a table in
+the shared folder and stop when every vertex has one link, to a vertex that has
+none; links that made a single piece are at that point by construction.
 """
 
 from __future__ import annotations
@@ -50,8 +51,12 @@ def _union_find(edges: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root][far])], ["a", "b"])
 
 
-def _contracted(edges: DataFrame, piece: int = 500_000) -> DataFrame:
-    """Links from each vertex to the smallest one found within a piece of a task's links."""
+def _contracted(edges: DataFrame, piece: int) -> tuple[DataFrame, str, int]:
+    """Links from each vertex to the smallest one found within a piece, as a written table, its path, and the number of pieces.
+
+    ``edges`` is a written table.
+    """
+    pieces = max(1, -(-edges.count() // piece))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -59,13 +64,14 @@ def _contracted(edges: DataFrame, piece: int = 500_000) -> DataFrame:
             if b.num_rows:
                 held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
                 n += b.num_rows
-            if n >= piece:
+            if n >= piece and pieces > 1:
                 yield _union_find(held)
                 held, n = [], 0
         if held:
             yield _union_find(held)
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    state, path = kept(edges.select("a", "b").coalesce(pieces).mapInArrow(run, "a long, b long"))
+    return state, path, pieces
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -81,13 +87,14 @@ def components(edges: DataFrame, most_rounds: int = 60, piece: int = 500_000) ->
     ``edges`` has long columns ``a`` and ``b``; self links are ignored, an empty table gives an empty result.
     """
     spark = edges.sparkSession
-    state, path = kept(_contracted(edges.filter("a <> b").select("a", "b").distinct(), piece))
+    links, links_path = kept(edges.filter("a <> b").select("a", "b").distinct())
     for _ in range(most_rounds):
-        if _settled(state):
+        state, path, pieces = _contracted(links, piece)
+        discard(spark, links_path)
+        if pieces == 1 or _settled(state):
             break
-        new, new_path = kept(_contracted(_small(_large(state)), piece))
+        links, links_path = kept(_small(_large(state)))
         discard(spark, path)
-        state, path = new, new_path
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     roots = state.select(F.col("b").alias("vertex")).distinct()
