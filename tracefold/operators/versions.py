@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,7 +81,6 @@ def adjacent(history: DataFrame, by: str, order: str, code: str = "code") -> Dat
 
 
 _DIFF = "array<struct<type string, line string, line_no_a int, line_no_b int>>"
-_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)")
 
 
 def diff_lines(a: str, b: str) -> list[tuple[str, str, int | None, int | None]]:

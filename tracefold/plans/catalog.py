@@ -28,6 +28,10 @@ DERIVED = {
     "coded": "concat('def ', lang, 'Reader_', source, '():', chr(10), CASE doc_id % 3 WHEN 0 THEN concat('    \"\"\"Reads ', source, '. \"\"\"', chr(10)) WHEN 1 THEN concat('    /* block of ', lang, ' */', chr(10)) ELSE '' END, '    return parseHTTP_', lang, chr(10))",
     "asked": "concat(CASE (conv_id + turn) % 6 WHEN 0 THEN 'how does this work? ' WHEN 1 THEN 'where is the parser ' WHEN 2 THEN 'please fix the crash in ' WHEN 3 THEN 'I can''t tell why it''s slow: ' WHEN 4 THEN 'sort and parse http config ' ELSE '' END, text)",
     "file_path": "concat(source, '/', lang, '/', CASE doc_id % 5 WHEN 0 THEN 'test_' WHEN 1 THEN 'config_' WHEN 2 THEN 'generated_' ELSE '' END, doc_id, '.py')",
+    "marked": "concat('- 1. **', lang, '** see [the ', source, ' page](http://host/', doc_id, ') or `', source, '_', lang, '` # ', text)",
+    "composed": "concat('Cafe\u0301 ', chr(7), chr(127), 'n\u0303', chr(9), lang, chr(13), chr(10), text)",
+    "importing": "concat('from ', source, '/', lang, '.py import x', chr(10), 'import os', chr(10), 'import \"lib/', doc_id % 9, '\"', chr(10), 'from ./near.py import y', chr(10), 'from tool.py import z', chr(10), 'import lib/', doc_id % 3, chr(10), text)",
+    "address": "CASE page_id % 9 WHEN 0 THEN concat('https://github.com/owner', page_id, '/repo.git') WHEN 1 THEN concat('git@github.com:own/rep-', page_id, '.git') WHEN 2 THEN concat('own_', page_id, '/name.x') WHEN 3 THEN concat('/srv/code of/', page_id) WHEN 4 THEN concat(' https://www.github.com/a/b', page_id, '/tree/main?x=1#y ') WHEN 5 THEN concat('ssh://git@github.com/a/c', page_id) WHEN 6 THEN concat('https://github.com/', page_id) WHEN 7 THEN '' ELSE url END",
     "symbol": "concat(CASE doc_id % 7 WHEN 0 THEN 'test_' WHEN 1 THEN 'TestOf' ELSE 'read_' END, lang)",
 }
 
@@ -302,6 +306,50 @@ def code_chunks(spark, sf_dir):
     return chunking.chunk_files(files).select("repo_name", "file_path", "symbol_name", "chunk_type", "start_line", "end_line", "signature", "docstring", "chunk_id")
 
 
+
+def embedding_text(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", coded="coded", symbol="symbol")
+    return docs.select("doc_id", text.text_for_embedding(F.col("symbol"), text.extract_docstring(F.col("coded")), F.col("coded")).alias("embedded"))
+
+
+def markdown_inline(spark, sf_dir):
+    return _table(spark, sf_dir, "documents", marked="marked").select("doc_id", text.clean_markdown_inline(F.col("marked")).alias("plain"))
+
+
+def unicode_clean(spark, sf_dir):
+    return _table(spark, sf_dir, "documents", composed="composed").select("doc_id", text.unicode_normalize(F.col("composed")).alias("clean"))
+
+
+def repository_addresses(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages", address="address")
+    named = pages.withColumn("_o", text.parse_owner_repo(F.col("address")))
+    return named.select("page_id", text.is_remote_git_url(F.col("address")).alias("is_remote"), F.col("_o.owner").alias("owner"), F.col("_o.repo").alias("repo"))
+
+
+def related_files(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", importing="importing")
+    own = F.concat("source", F.lit("/"), "lang", F.lit(".py"))
+    return docs.select("doc_id", F.array_join(queryprep.related_files(F.col("importing"), F.when(F.col("doc_id") % 2 == 0, own).otherwise("main.py")), "|").alias("related"))
+
+
+def search_results(spark, sf_dir):
+    """The first five fused results of each query, with the number before the cut and a percentage."""
+    rows = fusion.trim(fusion.fuse(*_lists(spark, sf_dir)), 5)
+    return rows.select("query_id", "id", "rank", "total_results", F.round(queryprep.match_percent(F.col("dense_score"), F.col("fused_score")), 4).alias("match_percent"))
+
+
+def version_list(spark, sf_dir):
+    rows = _manifests(spark, sf_dir).withColumns({"original_commit": F.concat(F.lit("c"), "snapshot_id"), "tag": F.lit(None).cast("string"), "commit_message": F.concat(F.lit("build "), "chunk_count")})
+    return versions.version_list(rows).select("snapshot_id", "original_commit", "commit_message", "chunk_count", "repo_name")
+
+
+def path_history(spark, sf_dir):
+    """The versions of one path: its first chunk in each snapshot."""
+    turns = _table(spark, sf_dir, "conversations")
+    chunks = turns.select(F.col("turn").cast("string").alias("snapshot_id"), F.lit("chat.py").alias("file_path"), F.col("conv_id").alias("start_line"), F.col("role").alias("chunk_id"), F.lit("x").alias("lineage_id"), F.col("text").alias("code"))
+    found = versions.lineage_history(chunks, _turn_manifests(spark, sf_dir), file_path="chat.py")
+    return found.select("snapshot_id", "start_line", "code", F.col("version").cast("long").alias("version"))
+
 def job_state_latest(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
     return jobs.latest_states(events, "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type")
@@ -325,7 +373,8 @@ NAMES = (
     "chunk_identity line_window_chunks tag_chunks query_category expand_query clean_queries matched_terms dense_topk dense_ann_recall rrf_weighted_nlists "
     "high_confidence_gate single_retriever_fallback post_filter_vs_prefilter rerank_passthrough lineage_collapse latest_snapshot_per_repo repo_list health_rollup "
     "repo_name_match lineage_history adjacent_versions version_diff_lines embedding_cache_miss incremental_build ndcg_mrr_recall_map ablation_grid "
-    "readme_analysis readme_title_summary code_chunks job_state_latest event_telemetry stream_jobs"
+    "readme_analysis readme_title_summary code_chunks job_state_latest event_telemetry stream_jobs "
+    "embedding_text markdown_inline unicode_clean repository_addresses related_files search_results version_list path_history"
 ).split()
 
 

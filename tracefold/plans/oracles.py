@@ -119,6 +119,12 @@ _STOP = ", ".join(f"'{w}'" for w in queryprep.STOP)
 _MANIFESTS = "manifests AS (SELECT event_id::VARCHAR AS snapshot_id, 'Repo' || user_id AS repo_name, '/srv/code/repo' || user_id AS repo_path, ts, floor(value)::BIGINT AS chunk_count FROM events)"
 _LATEST = "latest AS (SELECT lower(repo_name) AS repo_key, * FROM manifests QUALIFY row_number() OVER (PARTITION BY lower(repo_name) ORDER BY ts DESC, snapshot_id) = 1)"
 
+_ADDRESS = _strip(DERIVED["address"])
+_OWNER_REPO = r"^(?:(?i:https?|ssh)://(?:[^/@]*@)?(?i:(?:www\.)?github\.com)(?::[0-9]+)?/+|(?i:git@github\.com:)/*|)([a-zA-Z0-9_.-]+)/+([a-zA-Z0-9_.-]+?)(?i:\.git)?(?:[/?#].*)?$"
+_PLAIN = f"regexp_replace(regexp_replace({DERIVED['marked']}, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*`_#]', '', 'g')"
+_IMPORTS = f"""regexp_extract_all({DERIVED['importing']}, '(?:from\\s+|import\\s+)["'']?([\\w./-]+)["'']?', 1)"""
+_OWN_FILE = "CASE WHEN doc_id % 2 = 0 THEN source || '/' || lang || '.py' ELSE 'main.py' END"
+
 ORACLES = {
     "rrf_hybrid": f"WITH {_lists()}, {_fused()} SELECT * FROM fused",
     "tokenise_counts": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
@@ -184,4 +190,15 @@ ORACLES = {
     "stream_jobs": "SELECT r_regionkey::VARCHAR AS job_id, 'done' AS status, r_name AS message FROM region",
     "job_state_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "event_telemetry": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
+    "embedding_text": f"SELECT doc_id, concat_ws(chr(10), nullif({_SYM}, ''), nullif({_DOC}, ''), {_CODE}) AS embedded FROM documents",
+    "markdown_inline": f"SELECT doc_id, {_strip(f"regexp_replace({_PLAIN}, '^[\\s*\\->0-9.]+', '')")} AS plain FROM documents",
+    "unicode_clean": f"SELECT doc_id, regexp_replace(nfc_normalize({DERIVED['composed']}), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{{80}}-\\x{{9F}}]', '', 'g') AS clean FROM documents",
+    "repository_addresses": f"""SELECT page_id, regexp_matches(a, '^(https?://|git@|ssh://)') OR regexp_matches(a, '^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+$') AS is_remote,
+nullif(regexp_extract(a, '{_OWNER_REPO}', 1), '') AS owner, nullif(regexp_extract(a, '{_OWNER_REPO}', 2), '') AS repo FROM (SELECT page_id, coalesce({_ADDRESS}, '') AS a FROM pages)""",
+    "related_files": f"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], '|') AS related FROM (
+SELECT doc_id, list_filter({_IMPORTS}, lambda x: (contains(x, '/') OR x LIKE '%.py') AND x NOT LIKE '.%' AND x <> own) AS l FROM (SELECT *, {_OWN_FILE} AS own FROM documents))""",
+    "search_results": f"WITH {_lists()}, {_fused()} SELECT query_id, id, rank, count(*) OVER (PARTITION BY query_id) AS total_results, round(greatest(0, least(100, coalesce(dense_score, fused_score, 0) * 100)), 4) AS match_percent FROM fused QUALIFY rank <= 5",
+    "version_list": f"WITH {_MANIFESTS} SELECT snapshot_id, 'c' || snapshot_id AS original_commit, 'build ' || chunk_count AS commit_message, chunk_count, repo_name FROM manifests",
+    "path_history": """SELECT snapshot_id, start_line, code, row_number() OVER (ORDER BY turn DESC) AS version FROM (
+SELECT turn, turn::VARCHAR AS snapshot_id, conv_id AS start_line, text AS code FROM conversations QUALIFY row_number() OVER (PARTITION BY turn ORDER BY conv_id, role) = 1)""",
 }
