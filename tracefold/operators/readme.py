@@ -24,7 +24,7 @@ MODULE_QUESTIONS = (
     (("api", "route", "controller"), "architecture", "Where are API endpoints registered in `{}`?"),
     ((), "architecture", "What is the primary role of `{}` in this codebase?"),
 )
-# Words of the content (any of them, or all with +) and the questions they lead to.
+# Words of the content (any of them; all of those in a tuple) and the questions they lead to.
 CONTENT_QUESTIONS = (
     (("android", "sensor", "biometric"), "architecture", "Where are background sensor services initialized in {}?"),
     (("android", "sensor", "biometric"), "logic", "How does the policy engine evaluate real-time device context?"),
@@ -39,7 +39,7 @@ CONTENT_QUESTIONS = (
     (("hipaa", "phi"), "config", "Where is HIPAA compliant field-level data encryption enforced?"),
     (("bm25",), "logic", "How does BM25 keyword matching compute scores?"),
     (("tree-sitter", "ast chunk"), "logic", "How does Tree-Sitter AST chunking parse code?"),
-    (("embedding+vector",), "logic", "Where are dense vector embeddings generated?"),
+    ((("embedding", "vector"),), "logic", "Where are dense vector embeddings generated?"),
 )
 # Categories of questions with their words and how many they show.
 CATEGORIES = (
@@ -49,6 +49,7 @@ CATEGORIES = (
     ("Configuration & Setup", ("config", "env", "setting", "build", "secret", "permission", "depend"), 3),
 )
 
+# What counts as a module name, and what is no prose.
 _MODULE = re.compile(r"`([a-zA-Z0-9_\-/]+\.(?:py|tsx|ts|jsx|js|json|rs|go|html|css|yaml|yml|kt|java))`")
 _NO_PROSE = re.compile(r"[#\-`>$]|\*\s|!\[|<(?:img|a|div|p)|\[[^\]]+\]:\s*https?://|https?://|\[[^\]]+\]\(https?://[^)]+\)$", re.I)
 _IMAGE = re.compile(r"!\[[^]]*\]\(")
@@ -96,6 +97,7 @@ def _summary(rows: list[str]) -> str:
 def _questions(rows: list[str]) -> _Ordered:
     out, inside = _Ordered(), False
     for row in rows:
+        # Words of headings that open a list of questions, and lengths of questions.
         if re.match(r"#{1,3}\s+.*(?:question|faq|common\s+codebase)", row, re.I):
             inside = True
             continue
@@ -111,6 +113,7 @@ def _questions(rows: list[str]) -> _Ordered:
 def _features(rows: list[str]) -> _Ordered:
     out, inside = _Ordered(8), False
     for row in rows:
+        # Words of headings that open a list of features, and the marks of features.
         if re.match(r"#{1,3}\s+.*(?:feature|highlight|capabilit|overview)", row, re.I):
             inside = True
             continue
@@ -128,6 +131,7 @@ def _features(rows: list[str]) -> _Ordered:
 
 def analyse(content: str | None, repo: str) -> dict:
     """The record of one README; a fallback without content."""
+    # The sentences below and their order.
     if not content:
         entry, model, conf = f"Where is the main entry point defined in {repo}?", "Where are the core data models and helper functions located?", "How are configuration settings and dependencies managed?"
         return {
@@ -153,7 +157,7 @@ def analyse(content: str | None, repo: str) -> dict:
         kind, question = next((k, q) for words, k, q in MODULE_QUESTIONS if not words or any(w in base for w in words))
         asked[kind].append(question.format(module))
     for words, kind, question in CONTENT_QUESTIONS:
-        if any(all(part in low for part in w.split("+")) for w in words):
+        if any(all(part in low for part in ((w,) if isinstance(w, str) else w)) for w in words):
             asked[kind].append(question.format(repo))
     asked["config"] += [f"How are environment variables and system settings configured in {repo}?", "Where are project dependencies and build scripts defined?"]
     fallback = [

@@ -338,6 +338,26 @@ def search_results(spark, sf_dir):
     return rows.select("query_id", "id", "rank", "total_results", F.round(queryprep.match_percent(F.col("dense_score"), F.col("fused_score")), 4).alias("match_percent"))
 
 
+def bm25_bare_topk(spark, sf_dir):
+    """Lexical search with other parameters and without the constant factor."""
+    asked = _queries_of(spark, sf_dir)
+    index = bm25.build_for(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), bm25.query_terms(asked))
+    return bm25.search(index, asked, 10, k1=1.2, b=0.5, variant="bare")
+
+
+def shared_words(queries: list[str], texts: list[str]) -> list[float]:
+    """A scorer for tests and comparisons: the distinct words that query and text share."""
+    return [float(len(set(q.split(" ")) & set(t.split(" ")))) for q, t in zip(queries, texts, strict=True)]
+
+
+def rerank_scored(spark, sf_dir):
+    """The first ten fused results of each query in the order of a scorer, the rest after them."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"))
+    asked = _queries_of(spark, sf_dir).withColumnRenamed("text", "query")
+    rows = fusion.fuse(*_lists(spark, sf_dir)).join(asked, "query_id").join(docs, "id", "left")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return fusion.rerank(rows, blank(F.col("passage")), blank(F.col("query")), shared_words, first=10).select("query_id", "id", "fused_score", "rerank_score", "rank")
+
 def version_list(spark, sf_dir):
     rows = _manifests(spark, sf_dir).withColumns({"original_commit": F.concat(F.lit("c"), "snapshot_id"), "tag": F.lit(None).cast("string"), "commit_message": F.concat(F.lit("build "), "chunk_count")})
     return versions.version_list(rows).select("snapshot_id", "original_commit", "commit_message", "chunk_count", "repo_name")
@@ -374,7 +394,7 @@ NAMES = (
     "high_confidence_gate single_retriever_fallback post_filter_vs_prefilter rerank_passthrough lineage_collapse latest_snapshot_per_repo repo_list health_rollup "
     "repo_name_match lineage_history adjacent_versions version_diff_lines embedding_cache_miss incremental_build ndcg_mrr_recall_map ablation_grid "
     "readme_analysis readme_title_summary code_chunks job_state_latest event_telemetry stream_jobs "
-    "embedding_text markdown_inline unicode_clean repository_addresses related_files search_results version_list path_history"
+    "embedding_text markdown_inline unicode_clean repository_addresses related_files search_results version_list path_history bm25_bare_topk rerank_scored"
 ).split()
 
 

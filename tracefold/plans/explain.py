@@ -26,6 +26,7 @@ def explanation(file_path: Column, symbol: Column, docstring: Column, code: Colu
         role, level = F.when(hit(words), name).otherwise(role), F.when(hit(words), hard).otherwise(level)
     named = F.coalesce(symbol, F.lit("")) != ""
     first = F.regexp_replace(F.substring_index(F.trim(F.coalesce(docstring, F.lit(""))), "\n", 1), "^[\"'\\s]+|[\"'\\s]+$", "")
+    # The sentences.
     return F.struct(
         F.when(named, F.concat(F.lit("Function/Class: "), symbol)).otherwise(F.concat(F.lit("Code Block in "), file_path)).alias("headline"),
         F.when(first != "", first).otherwise(F.concat(F.lit("Executes specialized operations in "), file_path, F.lit("."))).alias("purpose"),

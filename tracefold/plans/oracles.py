@@ -36,14 +36,14 @@ dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok)"""
 
 
-def _bm25(queries: str) -> str:
+def _bm25(queries: str, factor: float = 2.5, k1: float = 1.5, b: float = 0.75) -> str:
     """CTEs up to ``scored`` (query_id, id, score); ``queries`` gives query_id and text."""
     return f"""{_INDEX},
 asked AS ({queries}),
 qpost AS (SELECT query_id, unnest({_tok("text")}) AS term FROM asked),
 qterms AS (SELECT query_id, term, count(*) AS qtf FROM qpost GROUP BY ALL),
 scored AS (
-  SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * qtf * 2.5 * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * qtf * {factor} * tf / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score
   FROM qterms JOIN dfs USING (term) JOIN postings USING (term), stats GROUP BY 1, 2
 )"""
 
@@ -201,4 +201,10 @@ SELECT doc_id, list_filter({_IMPORTS}, lambda x: (contains(x, '/') OR x LIKE '%.
     "version_list": f"WITH {_MANIFESTS} SELECT snapshot_id, 'c' || snapshot_id AS original_commit, 'build ' || chunk_count AS commit_message, chunk_count, repo_name FROM manifests",
     "path_history": """SELECT snapshot_id, start_line, code, row_number() OVER (ORDER BY turn DESC) AS version FROM (
 SELECT turn, turn::VARCHAR AS snapshot_id, conv_id AS start_line, text AS code FROM conversations QUALIFY row_number() OVER (PARTITION BY turn ORDER BY conv_id, role) = 1)""",
+    "bm25_bare_topk": f"WITH {_bm25(_BATCH, 1.0, 1.2, 0.5)} {_top('(SELECT * FROM scored WHERE score > 0)', 10)}",
+    "rerank_scored": f"""WITH {_lists()}, {_fused()}, judged AS (
+SELECT f.query_id, f.id, f.fused_score, f.rank AS old, len(list_intersect(string_split(coalesce(b.text, ''), ' '), string_split(substr(coalesce(d.text, ''), 1, 1000), ' ')))::DOUBLE AS s
+FROM fused f JOIN benchmark b ON b.item_id = f.query_id LEFT JOIN documents d ON d.doc_id = f.id)
+SELECT query_id, id, fused_score, CASE WHEN old <= 10 THEN s ELSE fused_score END AS rerank_score,
+row_number() OVER (PARTITION BY query_id ORDER BY old > 10, CASE WHEN old <= 10 THEN -s END, old)::INT AS rank FROM judged""",
 }
