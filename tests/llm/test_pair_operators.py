@@ -69,6 +69,40 @@ def test_neighbours_match_brute_force(spark):
     assert block_knn.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_broadcast_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.standard_normal(4)]) for k in range(2000)]
+    got = block_knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
+    assert got.count() == 200
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_bounds_copies_of_queries():
+    for rows, queries in ((2000, 20), (600_000, 6_000), (17_000_000, 170_000), (10**9, 10**7), (10**7, 10**7)):
+        pieces, columns = block_knn.grid(rows, queries, 64, k=10, block=2048, most=600)
+        assert columns * queries <= max(16 * queries, rows * pieces / 2) and columns <= 600
+        assert queries / pieces * (64 * 4 + 64) < block_knn.PIECE_BYTES
+    assert block_knn.grid(0, 0, 0, k=10, block=2048, most=600) == (1, 1)
+
+
+def test_neighbours_over_several_cells_and_norms(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16)) * np.repeat([1e-18, 1e-12, 1, 3, 1e14, 1e17], 250)[:, None]
+    x[300:900] = x[rng.integers(500, 560, 600)] * (1 + 1e-6 * rng.integers(0, 2, (600, 1)))  # copies and near copies
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(block_knn, "PIECE_BYTES", 20_000)
+    assert block_knn.grid(1500, 150, 16, k=7, block=64, most=4)[0] > 1
+    got = block_knn.nearest(frame, F.col("vec_id") % 10 == 0, k=7, block=64).collect()
+    want = Counter()
+    for q in range(0, 1500, 10):
+        d = block_knn.distances(np.repeat(x[q : q + 1], 1500, 0).astype(float), x.astype(float))
+        order = [j for j in np.lexsort((np.arange(1500), d)).tolist() if j != q][:7]
+        want.update((q, r, j, float(d[j])) for r, j in enumerate(order, 1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(4)
     x, y = rng.standard_normal((40, 64)), rng.standard_normal((300, 64)) * rng.uniform(0.1, 5, (300, 1))

@@ -1,17 +1,20 @@
 """Exact nearest neighbours by a block matrix join.
 
 Vectors are quantised to int8 with one scale per vector and packed into
-blocks; each block of queries meets each block of candidates once, as a tile.
-A tile is one product of the int8 matrices (in float32, where these integers
-are exact).  With q = s*a + e, where e is the quantisation residue of known
-norm, the distance of two vectors lies within |e_q| + |e_v| of the distance of
-their quantised forms.  Only pairs whose lower bound does not exceed the
-query's k-th upper bound survive; they are recomputed in double precision and
-go through a heap of k per query.  So the result is exact.
-
-The tiles come from an equi-join of blocks on a cell number: query blocks are
-dealt to every group of candidate blocks, which takes |queries| * |groups|
-rows of a few hundred kilobytes and no pairs of vectors.
+blocks; each block of queries meets each block of candidates once, as a tile,
+which is one product of the int8 codes.  With q = s*a + e, where e is the
+quantisation residue of known norm, the distance of two vectors lies within
+|e_q| + |e_v| of the distance of their quantised forms.  Only pairs whose lower
+bound does not exceed the query's k-th distance so far (at first: its k-th
+upper bound) survive; they are recomputed in double precision and go to the k
+best of their query.  So the result is exact.
+
+The tiles come from a grid of cells: candidate blocks are dealt to ``groups``
+columns, query blocks to as many rows as bound the queries that a task holds.
+A cell gets the queries of its row first and then streams the candidates of
+its column, so every block reaches a cell once.  There are at most so many
+columns that the copies of queries take about half the candidates' room, and
+nothing is broadcast or sent to the driver but three counts.
 
 Vectors that are null, zero, or hold a null or non-finite component take no
 part.  Ties go to the smaller id; a row never meets itself, but other rows
@@ -23,41 +26,58 @@ compared with those of its length.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.llm.common import column, one_blas_thread
 
+#: Bytes of queries, with what is found for them, that a task holds.
+PIECE_BYTES = 192 << 20
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Packs rows (row, vid, vec) into blocks of vectors of one length."""
-    waiting: dict[int, list] = {}
+#: Stands for no neighbour.
+NONE = np.iinfo(np.int64).max
 
-    def packed(dim: int) -> pa.RecordBatch:
-        own = waiting.pop(dim)
-        ids = np.array([x[:2] for x in own], np.int64)
-        vectors = np.array([x[2] for x in own], np.float64)
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["dim", "ids", "vectors"])
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, deal: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Packs rows (row, vid, vec) into blocks of vectors of one length, dealt to ``deal`` places in turn."""
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    place = int(TaskContext.get().partitionId() * 0.6180339887498949 % 1 * deal)  # where a task begins, far from its neighbours
+
+    def packed(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+        nonlocal place
+        ids, vectors = (np.concatenate(x) for x in zip(*waiting.pop(dim), strict=True))
+        at = 0
+        while len(ids) - at >= least:
+            place = (place + 1) % deal
+            part = slice(at, at + size)
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([vectors[part].tobytes()], pa.binary())], ["place", "dim", "ids", "vectors"])
+            at += size
+        if at < len(ids):
+            waiting[dim] = [(ids[at:], vectors[at:])]
 
     for batch in batches:
-        for row, vid, vec in zip(column(batch, "row").to_pylist(), column(batch, "vid").to_pylist(), column(batch, "vec").to_pylist(), strict=True):
-            if not vec or None in vec:
-                continue
-            x = np.array(vec, np.float64)
-            if not np.isfinite(x).all() or not x.any():
-                continue
-            own = waiting.setdefault(len(x), [])
-            own.append((row, vid, x))
-            if len(own) >= size:
-                yield packed(len(x))
+        vec = column(batch, "vec")
+        lengths = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False)
+        values = pc.cast(vec.flatten(), pa.float32() if kind == "f4" else pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # null: not a number
+        starts = np.cumsum(lengths) - lengths
+        ids = np.stack([column(batch, c).to_numpy(zero_copy_only=False) for c in ("row", "vid")], 1).astype(np.int64)
+        for dim in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == dim)
+            x = values[starts[own][:, None] + np.arange(dim)]
+            usable = np.isfinite(x).all(1) & x.any(1)
+            if usable.any():
+                waiting.setdefault(dim, []).append((ids[own[usable]], x[usable]))
+                if sum(len(i) for i, _ in waiting[dim]) >= size:
+                    yield from packed(dim, size)
     for dim in sorted(waiting):
-        yield packed(dim)
+        yield from packed(dim, 1)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,100 +129,179 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-class Heaps:
-    """For each query row the ``k`` smallest (distance, id, row)."""
-
-    def __init__(self, k: int):
-        self.k, self.best = k, {}
-
-    def add(self, query: tuple[int, int], dist: float, vid: int, row: int) -> None:
-        heap = self.best.setdefault(query, [])
-        item = (-dist, -vid, -row)
-        if len(heap) < self.k:
-            heapq.heappush(heap, item)
-        elif item > heap[0]:
-            heapq.heapreplace(heap, item)
-
-    def bound(self, query: tuple[int, int]) -> float:
-        heap = self.best.get(query, ())
-        return -heap[0][0] if len(heap) == self.k else np.inf
-
-    def rows(self) -> Iterator[tuple[int, int, int, int, float]]:
-        for (qrow, qid), heap in self.best.items():
-            for d, vid, row in heap:
-                yield qrow, qid, -vid, -row, -d
+class Codes:
+    """Quantised vectors as a side of a tile.
 
+    ``fit`` marks those for which float32 bounds hold: squares neither overflow
+    nor vanish, and the residue is small beside the vector.
+    """
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    def __init__(self, vectors: np.ndarray):
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            self.codes, self.scale, missed = quantise(vectors.astype(np.float64))
+            self.square = np.square(self.codes.astype(np.float32)).sum(1, dtype=np.float64) * self.scale * self.scale
+            norm = np.sqrt(self.square)
+            self.missed = missed * (1 + 1e-9) + 1e-7 * norm
+            self.fit = (norm > 1e-15) & (norm < 1e15) & (vectors.shape[1] * 127 * 127 < 1 << 24)
+        self.loss = 4 * (vectors.shape[1] + 8) * 2.0**-24  # of a float32 product, as a share of the squares in it
+
+    def right(self) -> np.ndarray:
+        return np.concatenate([self.codes * self.scale[:, None], (self.square * (1 - self.loss) - self.missed**2)[:, None], self.missed[:, None]], 1).astype(np.float32)
+
+    def left(self, at: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose product with a row of ``right`` reaches the second result if the distance can be ``kth`` or less.
+
+        With a = kth + |e_q|, that is |q|^2 + |v|^2 - 2qv <= (a + |e_v|)^2 for the quantised forms.
+        """
+        a = kth + self.missed[at]
+        rows = np.concatenate([self.codes[at] * (2 * self.scale[at])[:, None], np.full((len(at), 1), -1.0), 2 * a[:, None]], 1).astype(np.float32)
+        return rows, (self.square[at] * (1 - self.loss) - a * a * (1 + self.loss)).astype(np.float32)
+
+
+class Best:
+    """Queries of one length, and for each the ``k`` smallest (distance, id, row) so far, in order."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k, self.coded = ids, vectors, k, Codes(vectors)
+        self.dist = np.full((len(ids), k), np.inf)
+        self.vid, self.row = (np.full((len(ids), k), NONE) for _ in range(2))
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, step: int = 512) -> None:
+        """Takes a block of candidates; tiles of ``step`` queries bound the memory."""
+        coded, wide = Codes(vectors), vectors.astype(np.float64)
+        if coded.fit.any() and not coded.fit.all():
+            for part in (coded.fit, ~coded.fit):
+                self.meet(ids[part], vectors[part], step)
+            return
+        right = coded.right().T if coded.fit.all() else None
+        for begin in range(0, len(self.ids), step):
+            at = np.arange(begin, min(begin + step, len(self.ids)))
+            kth = self.dist[at, -1]
+            quick = self.coded.fit[at] & (kth < 1e15) if right is not None else np.zeros(len(at), bool)
+            if quick.any():
+                own = at[quick]
+                left, least = self.coded.left(own, kth[quick])
+                q, v = np.divmod(np.flatnonzero(left @ right >= least[:, None]), len(ids))
+                q = own[q]
+                for a in range(0, len(q), 65536):
+                    self.add(q[a : a + 65536], ids[v[a : a + 65536]], distances(self.vectors[q[a : a + 65536]].astype(np.float64), wide[v[a : a + 65536]]))
+            if not quick.all():
+                own = at[~quick]
+                same = self.ids[own, 0][:, None] == ids[None, :, 0]
+                q, v, dist = tile(self.vectors[own].astype(np.float64), wide, self.k, kth[~quick], same if same.any() else None)
+                self.add(own[q], ids[v], dist)
+
+    def add(self, q: np.ndarray, found: np.ndarray, dist: np.ndarray) -> None:
+        row, vid = found.T
+        far, last = self.dist[q, -1], self.vid[q, -1]
+        keep = ((dist < far) | (dist == far) & (vid <= last)) & (row != self.ids[q, 0])
+        if not keep.any():
+            return
+        q, dist, vid, row = q[keep], dist[keep], vid[keep], row[keep]
+        known = np.unique(q)
+        every = [np.concatenate(x) for x in ((np.repeat(known, self.k), q), (self.dist[known].ravel(), dist), (self.vid[known].ravel(), vid), (self.row[known].ravel(), row))]
+        order = np.lexsort(every[::-1])
+        q, dist, vid, row = (x[order] for x in every)
+        first = np.searchsorted(q, known)[:, None] + np.arange(self.k)  # at least k each
+        self.dist[known], self.vid[known], self.row[known] = dist[first], vid[first], row[first]
+
+    def rows(self, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """A row for each query with any: its ``k`` distances, ids and rows, one after the other."""
+        some = np.flatnonzero(self.row[:, 0] != NONE)
+        for a in range(0, len(some), size):
+            at = some[a : a + size]
+            packed = np.stack([self.dist[at].view(np.int64), self.vid[at], self.row[at]], 1)
+            ends = np.arange(len(at) + 1, dtype=np.int32) * (24 * self.k)
+            found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[at, 0]), pa.array(self.ids[at, 1]), found], ["query_row", "query_id", "found"])
+
+
+_FOUND = "query_row long, query_id long, found binary"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """A cell: blocks of queries, then blocks of candidates."""
     one_blas_thread()
-    heaps = Heaps(k)
+    asked: dict[int, list] = {}
+    best: dict[int, Best] = {}
     for batch in batches:
         for n in range(batch.num_rows):
-            dim, qids, qvec, vids, vvec = (column(batch, c)[n].as_py() for c in ("dim", "q_ids", "q_vectors", "ids", "vectors"))
-            qids, vids = (np.frombuffer(x, np.int64).reshape(-1, 2) for x in (qids, vids))
-            qvec, vvec = (np.frombuffer(x, np.float64).reshape(-1, dim) for x in (qvec, vvec))
-            keys = [(int(a), int(b)) for a, b in qids]
-            with np.errstate(over="ignore", invalid="ignore"):
-                coded = quantise(vvec)
-            for at in range(0, len(qids), 512):  # a tile of 512 rows at a time bounds the memory
-                part = slice(at, at + 512)
-                same = qids[part, 0][:, None] == vids[None, :, 0]
-                kth = np.array([heaps.bound(key) for key in keys[part]])
-                q, v, dist = tile(qvec[part], vvec, k, kth, same if same.any() else None, coded)
-                order = np.lexsort((vids[v, 0], vids[v, 1], dist, q))
-                q, v, dist = q[order], v[order], dist[order]
-                head = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-                rank = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
-                for i in np.flatnonzero(rank < k).tolist():
-                    heaps.add(keys[at + int(q[i])], float(dist[i]), int(vids[v[i], 1]), int(vids[v[i], 0]))
-            if len(heaps.best) > most:  # what is found so far goes on, and bounds begin anew
-                yield from _heap_rows(heaps)
-                heaps = Heaps(k)
-    yield from _heap_rows(heaps)
-
-
-def _heap_rows(heaps: Heaps) -> Iterator[pa.RecordBatch]:
-    rows, kinds = heaps.rows(), [pa.int64()] * 4 + [pa.float64()]
-    while some := list(islice(rows, 10_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], ["query_row", "query_id", "vec_id", "vec_row", "score"])
-
-
-_FOUND = "query_row long, query_id long, vec_id long, vec_row long, score double"
+            candidates, dim, ids, vectors = (column(batch, c)[n].as_py() for c in ("candidates", "dim", "ids", "vectors"))
+            block = np.frombuffer(ids, np.int64).reshape(-1, 2), np.frombuffer(vectors, kind).reshape(-1, dim)
+            if not candidates:
+                asked.setdefault(dim, []).append(block)
+                continue
+            if dim in asked:
+                best[dim] = Best(*(np.concatenate(x) for x in zip(*asked.pop(dim), strict=True)), k)
+            if dim in best:
+                best[dim].meet(*block)
+    for one in best.values():
+        yield from one.rows()
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` nearest of each query row, numbered, from what its cells found; rows of a query follow each other."""
+
+    def ranked(ids: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        dist, vid, row = (found[:, n].ravel() for n in range(3))
+        query = np.repeat(np.arange(len(ids)), k)
+        query = np.cumsum(np.r_[True, ids[1:, 0] != ids[:-1, 0]])[query]
+        order = np.lexsort((row, vid, dist.view(np.float64), query))
+        order = order[row[order] != NONE]
+        head = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]])
+        rank = np.arange(1, len(order) + 1) - np.repeat(head, np.diff(np.r_[head, len(order)]))
+        order, rank = order[rank <= k], rank[rank <= k]
+        return pa.RecordBatch.from_arrays([pa.array(ids[order // k, 1]), pa.array(rank, pa.int32()), pa.array(vid[order]), pa.array(dist.view(np.float64)[order])], ["query_id", "rank", "vec_id", "score"])
+
+    ids, found = np.empty((0, 2), np.int64), np.empty((0, 3, k), np.int64)
+    for batch in batches:
+        ids = np.concatenate([ids, np.stack([column(batch, c).to_numpy(zero_copy_only=False) for c in ("query_row", "query_id")], 1)])
+        found = np.concatenate([found, np.frombuffer(b"".join(column(batch, "found").to_pylist()), np.int64).reshape(-1, 3, k)])
+        done = int(np.searchsorted(ids[:, 0], ids[-1, 0])) if len(ids) else 0  # more rows of the last query may come
+        if done:
+            yield ranked(ids[:done], found[:done])
+            ids, found = ids[done:], found[done:]
+    if len(ids):
+        yield ranked(ids, found)
+
+
+def grid(rows: int, queries: int, dim: int, *, k: int, block: int, most: int, wide: int = 4) -> tuple[int, int]:
+    """Rows and columns of the grid, for so many usable rows and queries of up to ``dim`` components.
+
+    A row's queries take ``PIECE_BYTES`` at most, and the columns copy the
+    queries into half the room that the rows copy the candidates into, but for
+    16 columns that any grid may have.
+    """
+    pieces = max(1, -(-queries * (dim * (wide + 1) + 48 + 24 * k) // PIECE_BYTES))
+    return pieces, max(1, min(most, -(-rows // block), max(16, rows * pieces // (2 * max(queries, 1)))))
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 10, block: int = 2048, groups: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query row: query_id, rank, vec_id, score (Euclidean).
 
-    ``block`` bounds the vectors of a block and ``groups`` the cells that
-    candidate blocks are dealt to (by default as many as shuffle partitions).
+    ``block`` bounds the vectors of a block and ``groups`` names the columns of
+    the grid (by default as ``grid`` has it, up to the shuffle partitions).
+    The rows are counted at once, for the size of the grid.
     """
     spark = vectors.sparkSession
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "f4" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull) else "f8"
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vid"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("_q"))
-    pack = lambda b: _blocks(b, block)
-    schema = "dim int, ids binary, vectors binary"
     usable = rows.filter(F.col("vid").isNotNull())
-    blocks = usable.select("row", "vid", "vec").mapInArrow(pack, schema).withColumn("_cell", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    asked = usable.filter("_q").select("row", "vid", "vec").repartition(max(1, groups // 8)).mapInArrow(pack, schema)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_cell"))
-    found = blocks.join(asked, ["_cell", "dim"]).select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(lambda b: _tiles(b, k), _FOUND)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["query_id", "rank", "vec_id", "score"])
-
-        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for (qrow, qid), own in groupby(every, key=lambda r: r[:2]):
-            heaps = Heaps(k)
-            for _, _, vid, vrow, d in own:
-                heaps.add((qrow, qid), d, vid, vrow)
-            rows += [(qid, r, -vid, -d) for r, (d, vid, _) in enumerate(sorted(heaps.best[qrow, qid], reverse=True), 1)]
-            if len(rows) > 10_000:
-                yield packed()
-                rows = []
-        if rows:
-            yield packed()
-
-    return found.repartition("query_row").sortWithinPartitions("query_row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    n, queries, dim = usable.agg(F.count("*"), F.count_if("_q"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    pieces, columns = grid(n, queries, dim, k=k, block=block, most=int(spark.conf.get("spark.sql.shuffle.partitions")), wide=4 if kind == "f4" else 8)
+    columns = groups or columns
+
+    def blocks(side: DataFrame, deal: int, copies: int) -> DataFrame:
+        packed = side.select("row", "vid", "vec").mapInArrow(lambda b: _blocks(b, block, deal, kind), "place long, dim int, ids binary, vectors binary")
+        return packed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+
+    asked = blocks(usable.filter("_q").repartition(max(1, queries // (4 * block))), pieces, columns)
+    others = blocks(usable, columns, pieces)
+    fields = "dim", "ids", "vectors"
+    cells = asked.select(F.lit(0).alias("candidates"), (F.col("place") * columns + F.col("copy")).cast("int").alias("cell"), *fields)
+    cells = cells.union(others.select(F.lit(1), (F.col("copy") * columns + F.col("place")).cast("int"), *fields))
+    # by the cell's number itself, not a hash of it, under which some tasks would get several cells and some none
+    cells = cells.repartitionById(pieces * columns, F.col("cell")).sortWithinPartitions("candidates")
+    found = cells.select("candidates", *fields).mapInArrow(lambda b: _tiles(b, k, kind), _FOUND)
+    ordered = found.repartition("query_row").sortWithinPartitions("query_row")
+    return ordered.mapInArrow(lambda b: _merged(b, k), "query_id long, rank int, vec_id long, score double")
