@@ -123,9 +123,10 @@ def _tile(queries: np.ndarray, vectors: np.ndarray, k: int, kth: np.ndarray, sam
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances row by row, the squares added in the order of the components."""
-    total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        total += np.square(x[:, j] - y[:, j])
+    total = np.empty(len(x))
+    for a in range(0, len(x), 1024):  # as much as the cache holds
+        square = np.square(x[a : a + 1024] - y[a : a + 1024])
+        total[a : a + 1024] = np.add.accumulate(square, axis=1)[:, -1]
     return np.sqrt(total)
 
 
@@ -177,7 +178,10 @@ class Best:
         for begin in range(0, len(self.ids), step):
             at = np.arange(begin, min(begin + step, len(self.ids)))
             kth = self.dist[at, -1]
-            quick = self.coded.fit[at] & (kth < 1e15) if right is not None else np.zeros(len(at), bool)
+            quick = self.coded.fit[at] & (right is not None)
+            if len(new := np.flatnonzero(quick & ~(kth < 1e15))) and len(ids) > self.k:
+                kth[new] = self.first_bound(at[new], ids, wide, right)
+            quick &= kth < 1e15
             if quick.any():
                 own = at[quick]
                 left, least = self.coded.left(own, kth[quick])
@@ -191,6 +195,13 @@ class Best:
                 q, v, dist = tile(self.vectors[own].astype(np.float64), wide, self.k, kth[~quick], same if same.any() else None)
                 self.add(own[q], ids[v], dist)
 
+    def first_bound(self, at: np.ndarray, ids: np.ndarray, wide: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ``k``-th distance to some candidates of a block, those that look nearest."""
+        near = np.argpartition(self.coded.left(at, np.zeros(len(at)))[0] @ right, len(ids) - self.k - 1, axis=1)[:, -self.k - 1 :]
+        dist = distances(np.repeat(self.vectors[at].astype(np.float64), self.k + 1, 0), wide[near.ravel()]).reshape(near.shape)
+        dist[self.ids[at, :1] == ids[near, 0]] = np.inf  # itself
+        return np.sort(dist, 1)[:, self.k - 1]
+
     def add(self, q: np.ndarray, found: np.ndarray, dist: np.ndarray) -> None:
         row, vid = found.T
         far, last = self.dist[q, -1], self.vid[q, -1]
